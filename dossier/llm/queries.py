@@ -26,6 +26,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_score
+
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_near_dedup
 
@@ -81,6 +87,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_substring_dedup,
+    op2_lm_scoring,
     op3_simhash_near_dedup,
     op4_chat_formatting,
     op5_best_fit_packing,
