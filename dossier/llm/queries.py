@@ -73,6 +73,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import read_index, write_store
+
+    return read_index(spark, write_store(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -93,6 +99,7 @@ QUERIES = (
     op5_best_fit_packing,
     op6_suffix_array_dedup,
     op7_benchmark_decontamination,
+    op8_token_store,
     op9_quality_rules,
     op10_html_extraction,
 )
