@@ -138,26 +138,49 @@ class _Items:
         return ok
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.2, walks: int = 4, rounds: int = 32, sampled: int = 2, item_bytes: int = 4 << 20) -> DataFrame:
-    """One row per document and item that leaks into it: the closest run of words and its edits."""
+def _blocks(benchmark: DataFrame, item_bytes: int, how: tuple) -> Iterator[_Items]:
+    """The benchmark in blocks of about ``item_bytes`` of text."""
     items = benchmark.select("item_id", "text").dropna()
     blocks = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes))
-    found = []
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = sorted((r[0], r[1]) for r in part.collect())  # at most about item_bytes
-        held = _Items(rows, rate, walks, rounds, sampled)
+        yield _Items(sorted((r[0], r[1]) for r in part.collect()), *how)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.2, walks: int = 4, rounds: int = 32, sampled: int = 2, item_bytes: int = 4 << 20) -> DataFrame:
+    """One row per document and item that leaks into it: the closest run of words and its edits."""
+    found = []
+    for held in _blocks(benchmark, item_bytes, (rate, walks, rounds, sampled)):
 
         def search(batches: Iterator[pa.RecordBatch], held: _Items = held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in slices(batch, "text"):
-                    yield _search(piece, held)
+                    rows = _search(piece, held)
+                    ids = piece.column("doc_id").to_pylist()
+                    c = list(zip(*((ids[r[0]], *r[1:]) for r in rows))) or [()] * 6
+                    yield pa.record_batch([*(pa.array(v, pa.int64()) for v in c[:4]), *(pa.array(v, pa.int32()) for v in c[4:])], names=["doc_id", "item_id", "word_start", "word_end", "edits", "item_words"])
 
         found.append(docs.select("doc_id", "text").mapInArrow(search, LEAKS))
     return reduce(DataFrame.unionByName, found)
 
 
-def _search(part: pa.RecordBatch, held: _Items) -> pa.RecordBatch:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.2, walks: int = 4, rounds: int = 32, sampled: int = 2, item_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` without the rows that an item leaks into; all columns stay."""
+    for held in _blocks(benchmark, item_bytes, (rate, walks, rounds, sampled)):
+
+        def clean(batches: Iterator[pa.RecordBatch], held: _Items = held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in slices(batch, "text"):
+                    keep = np.ones(len(piece), bool)
+                    keep[[r[0] for r in _search(piece, held)]] = False
+                    yield piece.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
+def _search(part: pa.RecordBatch, held: _Items) -> list[tuple[int, int, int, int, int, int]]:
+    """Leaks into the rows of a batch, by place of the row."""
     block = Block(part.column("text"), lower=True)
     words, n = block.hashes(), len(block.starts)
     hits: dict[int, set[tuple[int, int]]] = {}
@@ -175,7 +198,7 @@ def _search(part: pa.RecordBatch, held: _Items) -> pa.RecordBatch:
         for i, s, d in zip(item[entry].tolist(), start.tolist(), owner[np.repeat(at, times)].tolist()):
             hits.setdefault(i, set()).add((s, d))
     rows: dict[tuple[int, int], tuple[int, int, int]] = {}
-    ids, data = part.column("doc_id").to_pylist(), None
+    data = None
     for i, starts in hits.items():
         m, t = int(held.size[i]), int(held.most[i])
         s, d = np.array(sorted(starts)).T
@@ -191,12 +214,4 @@ def _search(part: pa.RecordBatch, held: _Items) -> pa.RecordBatch:
                 new = (edits, a + _begin(own, text, end, edits) - int(lo[k]), a + end - int(lo[k]))
                 key = (int(d[k]), i)
                 rows[key] = min(rows.get(key, new), new)
-    flat = [(ids[d], held.ids[i], b, e, x, int(held.size[i])) for (d, i), (x, b, e) in rows.items()]
-    c = list(zip(*flat)) or [()] * 6
-    return pa.record_batch([*(pa.array(v, pa.int64()) for v in c[:4]), *(pa.array(v, pa.int32()) for v in c[4:])], names=["doc_id", "item_id", "word_start", "word_end", "edits", "item_words"])
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that an item leaks into; all columns stay, rows with a null doc_id too."""
-    leaks = find_leaks(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    return [(d, held.ids[i], b, e, x, int(held.size[i])) for (d, i), (x, b, e) in rows.items()]

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components, forest
 from .exchange import bucket_edges, materialize
@@ -265,18 +266,43 @@ def near_links(found: DataFrame, distance: int = 3) -> DataFrame:
     return probed.repartition(buckets, F.xxhash64("nth", F.length("left"), F.length("right"), F.substring("left", 1, 8))).mapInArrow(finish, "a long, b long")
 
 
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` with their fingerprint as ``_fp``, written once."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.append_column("_fp", pa.array(fingerprints(part.column("text"), shingle).view(np.int64)))
+
+    return materialize(docs.mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])))
+
+
+def _grouped(signed: DataFrame, distance: int) -> DataFrame:
+    """Every distinct fingerprint: its smallest doc_id and the root of its component."""
+    found = materialize(signed.groupBy("_fp").agg(F.min("doc_id").alias("least")))
+    roots = components(near_links(found.select(F.col("_fp").alias("fp")), distance)).withColumnRenamed("node", "_fp")
+    return found.join(roots, "_fp", "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
+
+
 def simhash_near_dedup(docs: DataFrame, *, shingle: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that links reach) of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.record_batch([part.column("doc_id"), pa.array(fingerprints(part.column("text"), shingle).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(fingerprints(part.column("text"), shingle).view(np.int64))], names=["doc_id", "_fp"])
 
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, fp long"))
-    found = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(found.select("fp"), distance)).withColumnRenamed("node", "fp")
-    grouped = found.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    signed = materialize(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, _fp long"))
+    grouped = _grouped(signed, distance)
     firsts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = grouped.join(firsts, "root").select("fp", "component_id")
-    return signed.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = grouped.join(firsts, "root").select("_fp", "component_id")
+    return signed.join(of, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_filter(docs: DataFrame, *, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """One row of each component stays, with all its columns: that of the smallest doc_id (a null one only if there is no other)."""
+    signed = _signed(docs, shingle)
+    last = F.lit(2**63 - 1)
+    firsts = _grouped(signed.select("doc_id", "_fp"), distance).groupBy("root").agg(F.min(F.struct(F.coalesce("least", last).alias("_id"), "_fp")).alias("one"))
+    kept = signed.withColumn("_id", F.coalesce("doc_id", last)).join(firsts.select("one._id", "one._fp"), ["_id", "_fp"], "left_semi")
+    return kept.dropDuplicates(["_id", "_fp"]).select(docs.columns)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .exchange import chunks_for, materialize
 from .text import SPANS_SQL, U64, Block, mix, powers, raw_strings, runs, slices, spans, strings
@@ -193,16 +194,26 @@ def _contexts(block: Block, at: np.ndarray, length: int, gram: int) -> tuple[np.
 OUT = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, removed {SPANS_SQL}"
 
 
-def suffix_array_dedup(docs: DataFrame, *, length: int = 400, gram: int = 16, whole_characters: bool = False) -> DataFrame:
+def suffix_array_filter(docs: DataFrame, *, length: int = 400, gram: int = 16) -> DataFrame:
+    """``docs`` with repeated strings cut out of their texts (whole characters only) and n_chars counted anew."""
+    found = suffix_array_dedup(docs, length=length, gram=gram, whole_characters=True, carry=tuple(docs.columns))
+    now = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select([(now[c] if c in now else F.col(f"_{c}")).alias(c) for c in docs.columns])
+
+
+def suffix_array_dedup(docs: DataFrame, *, length: int = 400, gram: int = 16, whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and removed (start and length in bytes) of every document.
 
     With ``whole_characters`` removed runs shrink to whole characters and kept_text holds the text that is left;
-    else kept_text is null, as a run may begin or end inside a character.
+    else kept_text is null, as a run may begin or end inside a character.  Columns named in ``carry`` are returned
+    as well, with an underscore before their names.
     """
     n = chunks_for(docs)
     key = F.xxhash64("doc_id", "text")
     keyed = docs.select(key.alias("row"), "doc_id", "text")
-    dealt = keyed.select(F.pmod("row", F.lit(n)).cast("int").alias("chunk"), "row", "doc_id", "text").repartition(n, "chunk")
+    also = [F.col(c).alias(f"_{c}") for c in carry]
+    dealt = docs.select(F.pmod(key, F.lit(n)).cast("int").alias("chunk"), key.alias("row"), "doc_id", "text", *also).repartition(n, "chunk")
+    out = T.StructType([*T.StructType.fromDDL(OUT).fields, *(T.StructField(f"_{c}", docs.schema[c].dataType) for c in carry)])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,6 +301,7 @@ def suffix_array_dedup(docs: DataFrame, *, length: int = 400, gram: int = 16, wh
         texts = strings(raw[~flags], kept)
         size = np.diff(offsets)
         columns = [table.column("doc_id").combine_chunks(), pa.array(size), pa.array(size - np.diff(kept)), pa.array(counts), texts.cast(pa.binary()), texts if whole_characters else pa.nulls(len(size), pa.string()), spans(start, end, counts, offsets[:-1])]
-        return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "removed"])
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "removed"]
+        return pa.table([*columns, *(table.column(f"_{c}") for c in carry)], names=[*names, *(f"_{c}" for c in carry)])
 
-    return dealt.groupBy("chunk").cogroup(hits.repartition(n, "chunk").groupBy("chunk")).applyInArrow(finish, OUT)
+    return dealt.groupBy("chunk").cogroup(hits.repartition(n, "chunk").groupBy("chunk")).applyInArrow(finish, out)

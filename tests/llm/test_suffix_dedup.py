@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from dossier.llm.suffix_dedup import blind_trie, deep_shallow, reaches, suffix_array_dedup
+from dossier.llm.suffix_dedup import blind_trie, deep_shallow, reaches, suffix_array_dedup, suffix_array_filter
 
 
 def brute(rows, length):
@@ -59,4 +59,6 @@ def test_documents(spark):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=str) == brute(rows, 24)
     for r in suffix_array_dedup(df, length=24, gram=8, whole_characters=True).collect():
         assert r.kept_text.encode() == bytes(r.kept) and len(r.kept) == r.n_bytes - r.n_removed
+    left = suffix_array_filter(df.withColumnRenamed("row", "n_bytes"), length=24, gram=8)
+    assert left.columns == ["doc_id", "text", "n_bytes"] and left.where("n_bytes = 1").count() == len(rows)
     assert suffix_array_dedup(df.limit(0)).count() == 0
