@@ -227,6 +227,7 @@ def suffix_array_dedup(docs: DataFrame, *, length: int = 400, gram: int = 16, wh
 
     found = materialize(keyed.select("row", "text").mapInArrow(find, "anchor long, context long, row long, at int"))
     twice = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").drop("n")
+    twice = materialize(twice)  # an aggregate right below a join would keep Spark from splitting hot anchors
     live = materialize(found.join(twice, "anchor"))
     classes = live.groupBy("anchor", "context", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
     classes = materialize(classes.select("anchor", "context", "mixed", "n", "one.row", "one.at"))
@@ -267,7 +268,7 @@ def suffix_array_dedup(docs: DataFrame, *, length: int = 400, gram: int = 16, wh
     dealt_out = pieces.select(F.pmod(F.xxhash64("anchor"), F.lit(groups)).cast("int").alias("bucket"), "*").repartition(groups, "bucket")
     compared = dealt_out.groupBy("bucket").applyInArrow(compare, "anchor long, context long, l int, r int")
     whole = classes.where("n > 1").select("anchor", "context", F.lit(length - gram).alias("l"), F.lit(length).alias("r"))
-    reach = whole.unionByName(compared).groupBy("anchor", "context").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    reach = materialize(whole.unionByName(compared).groupBy("anchor", "context").agg(F.max("l").alias("l"), F.max("r").alias("r")))
     hits = live.select("anchor", "context", "row", "at").join(reach, ["anchor", "context"]).select(F.pmod("row", F.lit(n)).cast("int").alias("chunk"), "row", (F.col("at") - F.col("l")).alias("a"), (F.col("at") + F.col("r")).alias("b"))
 
     def finish(table: pa.Table, hits: pa.Table) -> pa.Table:
