@@ -73,7 +73,7 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Filling
     return [(f, n) for fs in by_room.values() for f, n in fs.items()]
 
 
-def fillings(room: int, counts: np.ndarray, waste: int, most: int = 64, steps: int = 4000) -> list[Filling]:
+def fillings(room: int, counts: np.ndarray, waste: int, most: int = 12, steps: int = 40) -> list[Filling]:
     """Undominated ways to fill ``room`` that leave at most ``waste``, best fit first.
 
     Larger pieces come first; one piece that fills the room dominates everything, and a filling is
@@ -98,7 +98,7 @@ def fillings(room: int, counts: np.ndarray, waste: int, most: int = 64, steps: i
             return
         steps_left[0] -= 1
         fit = sizes[(sizes <= min(rest, below))]
-        fit = fit[[counts[s] > chosen.count(s) for s in fit[:64].tolist()] + [True] * max(0, len(fit) - 64)] if len(fit) else fit
+        fit = fit[[counts[s] > chosen.count(s) for s in fit[:16].tolist()] + [True] * max(0, len(fit) - 16)] if len(fit) else fit
         if not len(fit):
             if rest <= waste:
                 out.append((rest, len(chosen), tuple((s, chosen.count(s)) for s in dict.fromkeys(chosen))))
@@ -106,7 +106,7 @@ def fillings(room: int, counts: np.ndarray, waste: int, most: int = 64, steps: i
         if counts[rest] > chosen.count(rest) and rest <= below:
             out.append((0, len(chosen) + 1, tuple((s, [*chosen, rest].count(s)) for s in dict.fromkeys([*chosen, rest]))))
             return
-        for s in fit[:8].tolist():
+        for s in fit[:4].tolist():
             search(rest - s, s, [*chosen, s])
 
     if not out:
@@ -120,7 +120,7 @@ def fillings(room: int, counts: np.ndarray, waste: int, most: int = 64, steps: i
     return [f for _, f in kept]
 
 
-def bin_completion(counts: np.ndarray, capacity: int, budget: int = 20_000) -> list[tuple[Filling, int]]:
+def bin_completion(counts: np.ndarray, capacity: int, budget: int = 2_000) -> list[tuple[Filling, int]]:
     """Fillings and how many sequences have each; ``counts`` by length, from 0 to the capacity."""
     counts = np.asarray(counts, np.int64).copy()
     bound, total = lower_bound(counts, capacity), int((np.arange(len(counts)) * counts).sum())
@@ -128,10 +128,11 @@ def bin_completion(counts: np.ndarray, capacity: int, budget: int = 20_000) -> l
     if not total or sum(n for _, n in best) == bound:
         return best
     path: list[tuple[Filling, int, int]] = []  # filling, times, waste of each step
+    least, lost_so_far = sum(n for _, n in best), 0
 
     def waste_left() -> int:
         """What may still be lost if the plan is to beat the incumbent."""
-        return (sum(n for _, n in best) - 1) * capacity - total - sum(w for _, _, w in path)
+        return (least - 1) * capacity - total - lost_so_far
 
     def choices() -> tuple[int, Iterator[Filling]]:
         large = int(np.flatnonzero(counts)[-1])
@@ -148,7 +149,8 @@ def bin_completion(counts: np.ndarray, capacity: int, budget: int = 20_000) -> l
         if rest is None:
             stack.pop()
             if path:
-                f, times, _ = path.pop()
+                f, times, lost = path.pop()
+                lost_so_far -= lost
                 for s, k in f:
                     counts[s] += k * times
             continue
@@ -164,11 +166,14 @@ def bin_completion(counts: np.ndarray, capacity: int, budget: int = 20_000) -> l
         for s, k in step:
             counts[s] -= k * times
         path.append((step, times, lost * times))
+        lost_so_far += lost * times
         if not counts.any():
             best = [(f, n) for f, n, _ in path]
-            if sum(n for _, n in best) == bound:
+            least = sum(n for _, n in best)
+            if least == bound:
                 break
-            f, n, _ = path.pop()
+            f, n, lost = path.pop()
+            lost_so_far -= lost
             for s, k in f:
                 counts[s] += k * n
         else:
@@ -192,7 +197,7 @@ def cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity
             yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = 4096, budget: int = 20_000) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = 4096, budget: int = 2_000) -> DataFrame:
     """Each piece of each document with its sequence and its place there."""
     pieces = materialize(docs.select("doc_id", "text").mapInArrow(lambda it: cut(it, tokenizer, end_id, capacity), PIECES))
     found = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
