@@ -115,7 +115,7 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = 2, folder: str
     folder = folder or f"{shared_dir(docs.sparkSession)}/token-store-{uuid.uuid4().hex}"
     found = docs.select("doc_id", "text").mapInArrow(lambda it: encode(it, tokenizer, end_id), RAW)
     # One exchange: chunks by address, recipes anywhere.
-    by = F.coalesce(F.xxhash64("address"), F.xxhash64("doc_id", "n_tokens"))
+    by = F.when(F.col("kind") == 1, F.xxhash64("address")).otherwise(F.xxhash64("doc_id", "n_tokens"))
     spread = found.repartition(max(8, docs.rdd.getNumPartitions()), by).sortWithinPartitions("kind", "address")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
