@@ -113,3 +113,72 @@ ORACLE: dict[str, str] = {
     "rounds_membership_equal": f"""WITH {LABELS}, a AS (SELECT * FROM {_rounds("split = 'build' AND stratum = 'survivor'")} WHERE round = 1), b AS (SELECT * FROM {_rounds("split = 'build'")} WHERE round = 1)
         SELECT count(*) FILTER (b.paper_id IS NULL) AS only_a, count(*) FILTER (a.paper_id IS NULL) AS only_b, count(*) FILTER (a.paper_id IS NOT NULL AND b.paper_id IS NOT NULL) AS both_n FROM a FULL OUTER JOIN b ON a.paper_id = b.paper_id""",
 }
+
+
+SOURCES = f"""{LABELS}, base AS (SELECT paper_id, doc_id, coalesce(exclusion_reason, '') AS exclusion_reason, coalesce(power, '') AS power, coalesce(stats, '') AS stats, citation_raw FROM labs),
+src AS (SELECT *, 'A' AS source, 'labels_a.csv' AS source_file FROM base WHERE doc_id % 3 <> 0
+    UNION ALL SELECT paper_id, doc_id, exclusion_reason, CASE WHEN doc_id % 11 = 0 AND power = 'yes' THEN 'no' WHEN doc_id % 11 = 0 AND power = 'no' THEN 'yes' ELSE power END, stats, citation_raw, 'B', 'labels_b.csv' FROM base WHERE doc_id % 5 <> 0)"""
+RAW = """raw AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, (['Yes', ' no (see text)', 'N', 'y, partly', '', 'maybe', 'Low_Quality', ' Not  a TRIAL ', 'None', 'unclear', 'strange reason', '17', ' 8 ', '8.5'])[doc_id % 14 + 1] AS raw FROM documents)"""
+PAPERS = """pap AS (SELECT CAST(d.doc_id AS VARCHAR) AS paper_id, d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' ELSE 'human_labelled' END AS set, source, lang, left(text, 60) AS title, md5(text) AS md5, '10.1000/' || md5(text) AS doi,
+    CAST(d.doc_id AS VARCHAR) AS pmid, CASE WHEN d.doc_id % 13 = 0 THEN 'DROPPED' WHEN d.doc_id % 17 = 0 THEN 'WEAK' ELSE 'VERIFIED' END AS verdict, CASE WHEN d.doc_id % 31 = 0 THEN 'PDF_MISSING' ELSE 'OK' END AS status
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+NEW = "newl AS (SELECT paper_id, CASE WHEN doc_id % 5 = 0 THEN citation_raw || ' (rev)' ELSE citation_raw END AS citation_raw FROM labs WHERE doc_id % 7 <> 0)"
+IDS = f"{PAPERS}, ids AS (SELECT paper_id, set, 'doi' AS field, doi AS value FROM pap UNION ALL SELECT paper_id, set, 'pmid', pmid FROM pap UNION ALL SELECT paper_id, set, 'md5', md5 FROM pap)"
+PAIRS = f"{PAPERS}, pairs AS (SELECT md5 AS pair_id, max(paper_id) FILTER (set = 'human_labelled') AS keep, max(paper_id) FILTER (set <> 'human_labelled') AS remove FROM pap GROUP BY md5 HAVING count(*) = 2 AND count(*) FILTER (set = 'human_labelled') = 1)"
+LEDGER = f"""{PAPERS}, book AS (SELECT paper_id, (['cross_set_duplicate', 'internal_duplicate', 'identity', 'unreviewed', 'cross_paper_reason', 'disagreement', 'expert_review', 'text_integrity'])[doc_id % 8 + 1] AS stage,
+    (['rule', 'rule', 'human', 'rule', 'rule', 'human', 'human', 'model'])[doc_id % 8 + 1] AS decided_by, 'rule ' || doc_id % 3 AS reason FROM pap WHERE verdict = 'DROPPED' UNION ALL SELECT paper_id, 'pdf_missing', 'rule', 'PDF_MISSING' FROM pap WHERE status = 'PDF_MISSING')"""
+DECIDED = "dec AS (SELECT paper_id, CASE WHEN doc_id % 2 = 0 THEN 'VERIFIED' ELSE 'DROPPED' END AS decided FROM pap WHERE doc_id % 9 = 0)"
+AUTHORS = f"{PAPERS}, aut AS (SELECT paper_id, doc_id, source AS surname, 1990 + doc_id % 23 AS year, ['co' || doc_id % 11, 'third' || doc_id % 3] AS rest FROM pap)"
+
+ORACLE |= {
+    "labels_union": f"WITH {SOURCES} SELECT paper_id, source, power, CASE source WHEN 'A' THEN '' ELSE stats END AS stats, CASE source WHEN 'A' THEN 'n' ELSE '' END AS note FROM src",
+    "labels_agree": f"WITH {SOURCES} SELECT paper_id, count(*) AS n_rows, min(exclusion_reason) AS exclusion_reason, min(power) AS power, min(stats) AS stats FROM src GROUP BY paper_id HAVING count(DISTINCT (exclusion_reason, power, stats)) = 1",
+    "labels_disagree": f"WITH {SOURCES} SELECT paper_id, count(*) AS n_rows, count(DISTINCT (exclusion_reason, power, stats)) AS n_answers FROM src GROUP BY paper_id HAVING count(DISTINCT (exclusion_reason, power, stats)) > 1",
+    "labels_collapse": f"WITH {SOURCES} SELECT paper_id, string_agg(source_file, '; ' ORDER BY source) AS source_files, min(citation_raw) AS citations FROM src GROUP BY paper_id HAVING count(DISTINCT (exclusion_reason, power, stats)) = 1",
+    "labels_gate": f"WITH {SOURCES} SELECT paper_id, source, nullif(exclusion_reason, '') AS exclusion_reason, CASE WHEN exclusion_reason = '' THEN 'yes' END AS power, CASE WHEN exclusion_reason = '' THEN nullif(stats, '') END AS stats FROM src",
+    "labels_clean_yes_no": f"WITH {RAW} SELECT *, CASE WHEN trim(raw) = '' THEN '' WHEN lower(regexp_extract(trim(raw), '^[^ (,-]*')) IN ('y', 'yes') THEN 'yes' WHEN lower(regexp_extract(trim(raw), '^[^ (,-]*')) IN ('n', 'no') THEN 'no' END AS clean FROM raw",
+    "labels_clean_reason": f"WITH {RAW} SELECT *, CASE trim(raw) WHEN '' THEN '' WHEN 'Low_Quality' THEN 'low_quality' WHEN 'Not  a TRIAL' THEN 'not a trial' ELSE 'other' END AS clean FROM raw",
+    "labels_restricted": f"WITH {RAW} SELECT *, CASE lower(trim(raw)) WHEN '' THEN '' WHEN 'none' THEN 'no' WHEN 'no' THEN 'no' WHEN 'unclear' THEN 'unclear' ELSE 'yes' END AS restricted, CASE WHEN regexp_full_match(trim(raw), '[0-9]+') THEN trim(raw) ELSE '' END AS number FROM raw",
+    "labels_upsert_keep_split": f"WITH {LABELS}, {NEW} SELECT n.paper_id, n.citation_raw, CASE WHEN o.citation_raw = n.citation_raw THEN split END AS split FROM newl n JOIN labs o USING (paper_id) UNION ALL SELECT paper_id, citation_raw, split FROM labs WHERE doc_id % 7 = 0",
+    "labels_stale": f"WITH {LABELS} SELECT paper_id, citation_raw, split FROM labs WHERE doc_id % 7 = 0",
+    "labels_identifier_join": f"""WITH {PAPERS}, u AS (SELECT doi, min(paper_id) AS p FROM pap GROUP BY doi HAVING count(*) = 1)
+        SELECT 'r' || paper_id AS row_id, coalesce(u.p, CASE WHEN doc_id % 3 = 0 THEN paper_id END) AS paper_id, CASE WHEN u.p IS NOT NULL THEN 'doi' WHEN doc_id % 3 = 0 THEN 'pmid' ELSE 'none' END AS rule FROM pap LEFT JOIN u ON u.doi = pap.doi AND doc_id % 4 <> 0""",
+    "labels_author_year_join": f"WITH {AUTHORS}, k AS (SELECT surname, year, count(*) AS n FROM aut GROUP BY ALL) SELECT 'r' || paper_id AS row_id, CASE WHEN n = 1 THEN paper_id END AS paper_id, CASE WHEN n = 1 THEN 'author_year' ELSE 'ambiguous' END AS rule FROM aut JOIN k USING (surname, year)",
+    "labels_positional_join": f"""WITH {AUTHORS}, k AS (SELECT surname, year, count(*) AS n FROM aut GROUP BY ALL), h AS (SELECT a.paper_id, min(b.paper_id) AS p, count(*) AS hits FROM aut a JOIN aut b ON a.surname = b.surname AND a.year = b.year AND a.rest = b.rest GROUP BY a.paper_id)
+        SELECT 'r' || paper_id AS row_id, CASE WHEN n = 1 THEN paper_id ELSE p END AS paper_id, CASE WHEN n = 1 THEN 'author_year' ELSE 'positional' END AS rule, hits::INTEGER AS positional_hits FROM aut JOIN k USING (surname, year) JOIN h USING (paper_id)""",
+    "ledger_union": f"WITH {LEDGER} SELECT * FROM book",
+    "ledger_by_stage": f"WITH {LEDGER} SELECT stage, count(*) AS n, string_agg(DISTINCT decided_by, ';' ORDER BY decided_by) AS decided_by, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons FROM book GROUP BY stage",
+    "ledger_reconcile": f"""WITH {LEDGER}, x AS (SELECT p.*, b.paper_id IS NOT NULL AS listed FROM pap p LEFT JOIN (SELECT DISTINCT paper_id FROM book) b ON p.paper_id = b.paper_id)
+        SELECT count(*) AS manifest_n, count(*) FILTER (verdict = 'DROPPED') AS dropped_n, count(*) FILTER (listed) AS listed_n, count(*) FILTER (verdict = 'DROPPED' AND NOT listed) AS dropped_unlisted, count(*) FILTER (verdict <> 'DROPPED' AND listed) AS listed_active,
+        count(*) FILTER (verdict <> 'DROPPED' AND status = 'OK') AS active_n, count(*) FILTER ((verdict = 'DROPPED') <> listed) = 0 AS reconciles FROM x""",
+    "dedupe_identifier_collisions": f"WITH {IDS} SELECT field, value, count(DISTINCT paper_id) AS n_papers, min(paper_id) AS first_paper FROM ids GROUP BY field, value HAVING count(DISTINCT paper_id) > 1",
+    "dedupe_cross_set": f"WITH {IDS} SELECT paper_id, string_agg(DISTINCT field, ';' ORDER BY field) AS fields FROM ids a WHERE set = 'unlabelled' AND EXISTS (SELECT 1 FROM ids b WHERE b.set = 'human_labelled' AND b.field = a.field AND b.value = a.value) GROUP BY paper_id",
+    "dedupe_pairs_merge": f"WITH {PAIRS} SELECT * FROM pairs",
+    "dedupe_orphans": f"WITH {LABELS}, {PAIRS} SELECT pairs.* FROM pairs WHERE keep NOT IN (SELECT paper_id FROM labs WHERE split = 'build')",
+    "corpus_upsert": f"WITH {PAPERS}, {DECIDED} SELECT pap.paper_id, coalesce(decided, verdict) AS verdict, CASE WHEN decided IS NULL THEN status ELSE 'DECIDED' END AS status FROM pap LEFT JOIN dec USING (paper_id)",
+    "corpus_apply_verdict": f"WITH {PAPERS}, {DECIDED} SELECT pap.paper_id, coalesce(decided, verdict) AS verdict, CASE WHEN decided IS NULL THEN 'untouched' WHEN decided = verdict THEN 'already' ELSE 'changed' END AS action FROM pap LEFT JOIN dec USING (paper_id)",
+    "corpus_drop_plan": f"WITH {PAIRS} SELECT paper_id, verdict, CASE WHEN remove IS NOT NULL THEN 'duplicate' ELSE 'no_pdf' END AS reason FROM pap LEFT JOIN pairs ON remove = paper_id WHERE verdict <> 'DROPPED' AND (remove IS NOT NULL OR status = 'PDF_MISSING')",
+    "checks_labels_closure": f"""WITH {LABELS}, {PAPERS}, k AS (SELECT 'C1_label_without_paper' AS tag, count(*) AS offending FROM labs WHERE paper_id NOT IN (SELECT paper_id FROM pap)
+        UNION ALL SELECT 'C2_label_of_dropped_paper', count(*) FROM labs JOIN pap USING (paper_id) WHERE verdict = 'DROPPED' UNION ALL SELECT 'C3_excluded_with_answer', count(*) FROM labs WHERE exclusion_reason IS NOT NULL AND power IS NOT NULL
+        UNION ALL SELECT 'C4_survivor_without_answer', count(*) FROM labs WHERE exclusion_reason IS NULL AND (power IS NULL OR stats IS NULL) UNION ALL SELECT 'C5_no_split', count(*) FROM labs WHERE split IS NULL UNION ALL SELECT 'C6_answer_outside_vocabulary', count(*) FROM labs WHERE power NOT IN ('yes', 'no'))
+        SELECT tag, offending, offending = 0 AS ok FROM k""",
+    "checks_corpus_closure": f"""WITH {PAPERS}, {JUDGMENTS}, k AS (SELECT 'U1_no_identifier' AS tag, count(*) AS offending FROM pap WHERE doi = '' UNION ALL SELECT 'U2_shared_doi', count(*) FROM (SELECT 1 FROM pap GROUP BY doi HAVING count(*) > 1)
+        UNION ALL SELECT 'U3_active_without_file', count(*) FROM pap WHERE verdict <> 'DROPPED' AND status <> 'OK' UNION ALL SELECT 'U4_unknown_verdict', count(*) FROM pap WHERE verdict NOT IN ('VERIFIED', 'WEAK', 'DROPPED')
+        UNION ALL SELECT 'U5_active_without_judgment', count(*) FROM pap WHERE verdict <> 'DROPPED' AND paper_id NOT IN (SELECT paper_id FROM jud)) SELECT tag, offending, offending = 0 AS ok FROM k""",
+    "source_summary_rollup": f"""WITH {LABELS}, {PAPERS}, x AS (SELECT source, stratum FROM pap LEFT JOIN labs USING (paper_id))
+        SELECT coalesce(source, 'TOTAL') AS source, count(*) AS n, count(stratum) AS labelled, count(*) FILTER (stratum = 'excluded') AS excluded, count(*) FILTER (stratum = 'survivor') AS kept FROM x GROUP BY ROLLUP (source)""",
+    "tree_subtree_paths": """SELECT 'root' AS node, 'root' AS path, 0 AS depth UNION ALL SELECT 'r' || r_regionkey, 'root/r' || r_regionkey, 1 FROM region UNION ALL SELECT 'n' || n_nationkey, 'root/r' || n_regionkey || '/n' || n_nationkey, 2 FROM nation""",
+    "text_normalize_doi": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, '10.1000/' || md5(text) AS doi, CASE doc_id % 4 WHEN 1 THEN 'doi: ' ELSE '' END || '10.1000/' || md5(text) || '.,' AS label_doi FROM documents",
+    "text_other_dois": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, '10.2000/a' || doc_id % 5 || ' 10.2000/b' AS others FROM documents",
+    "text_correction_title": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, doc_id % 4 < 2 AS is_correction FROM documents",
+    "text_admin_head": "SELECT doc_id, doc_id % 6 = 0 OR regexp_matches(lower(left(text, 1500)), 'grant\\s+application|principal\\s+investigator|budget\\s+period') AS is_administrative FROM documents",
+    "text_integrity_flags": """WITH d AS (SELECT doc_id, text, ceil(length(text) / 3000::DOUBLE) AS pages FROM documents), m AS (SELECT median(length(text) / pages) AS m FROM d WHERE pages > 0),
+        l AS (SELECT doc_id, text, pages, m, list_filter(string_split(text, chr(10)), lambda x: length(x) > 15) AS long, regexp_replace(text, '\\s+', '', 'g') AS solid FROM d, m)
+        SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(text, '\u00c3[\u0080-\u00bf]|\u00e2\u20ac') THEN 'mojibake' END, CASE WHEN NOT regexp_matches(lower(text), 'references|bibliography|doi') THEN 'no_references' END,
+            CASE WHEN pages > 0 AND length(text) / pages < 0.4 * m THEN 'thin' END, CASE WHEN length(regexp_replace(solid, '[^\\p{L}]', '', 'g')) / nullif(length(solid), 0)::DOUBLE < 0.6 THEN 'few_letters' END,
+            CASE WHEN len(long) > 50 AND (len(long) - len(list_distinct(long))) / len(long)::DOUBLE > 0.3 THEN 'repeated_lines' END) AS flags FROM l""",
+    "text_chars_per_page_median": "SELECT count(*) AS n, median(length(text) / ceil(length(text) / 3000::DOUBLE)) AS median FROM documents WHERE length(text) > 0",
+    "text_clean": """SELECT doc_id, md5(text) AS text_md5, concat_ws(';', CASE WHEN doc_id % 3 = 0 THEN 'bom' END, CASE WHEN doc_id % 4 = 0 AND contains(text, chr(10)) THEN 'line_ends' END, CASE WHEN contains(text, '\ufffd') THEN 'replacement' END,
+        CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN length(text) > 550000 THEN 'too_long' END) AS notes FROM documents""",
+    "text_rule_citations": "SELECT doc_id, 'E' || doc_id % 30 || ',P2,E1,E1,D7' AS cited, CASE doc_id % 30 WHEN 1 THEN 'E1' ELSE 'E' || doc_id % 30 || ',E1' END AS task_rules FROM documents",
+}

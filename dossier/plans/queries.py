@@ -202,3 +202,295 @@ def rounds_violations(c: Corpus) -> DataFrame:
 def rounds_membership_equal(c: Corpus) -> DataFrame:
     rounds = sp.interleave(c.labels().where("split = 'build' and stratum = 'survivor'"), ROUND_SEED)
     return sp.same_membership(rounds.where("round = 1"), sp.interleave(c.labels().where("split = 'build'"), ROUND_SEED).where("round = 1"))
+
+
+# --- labels -----------------------------------------------------------------------------------------------------
+
+from dossier.operators import labels as lb  # noqa: E402
+
+
+@query
+def labels_union(c: Corpus) -> DataFrame:
+    """Two sources with different columns."""
+    s = c.label_sources()
+    a = s.where("source = 'A'").drop("stats").withColumn("note", F.lit("n"))
+    return lb.union_sources(a, s.where("source = 'B'")).select("paper_id", "source", "power", "stats", "note")
+
+
+@query
+def labels_agree(c: Corpus) -> DataFrame:
+    return lb.agreeing(c.label_sources()).select("paper_id", "n_rows", "exclusion_reason", "power", "stats")
+
+
+@query
+def labels_disagree(c: Corpus) -> DataFrame:
+    return lb.disagreeing(c.label_sources()).select("paper_id", "n_rows", "n_answers")
+
+
+@query
+def labels_collapse(c: Corpus) -> DataFrame:
+    return lb.agreeing(c.label_sources()).select("paper_id", "source_files", "citations")
+
+
+@query
+def labels_gate(c: Corpus) -> DataFrame:
+    """Every row carries all answers first, so that the gate has something to take away."""
+    full = c.label_sources().withColumn("power", F.lit("yes"))
+    return lb.gate(full).select("paper_id", "source", "exclusion_reason", "power", "stats")
+
+
+def _raw_answers(c: Corpus) -> DataFrame:
+    d = F.col("doc_id")
+    texts = F.array(*(F.lit(x) for x in ("Yes", " no (see text)", "N", "y, partly", "", "maybe", "Low_Quality", " Not  a TRIAL ", "None", "unclear", "strange reason", "17", " 8 ", "8.5")))
+    return c.table("documents").select(d.cast("string").alias("paper_id"), F.element_at(texts, (d % 14 + 1).cast("int")).alias("raw"))
+
+
+@query
+def labels_clean_yes_no(c: Corpus) -> DataFrame:
+    return _raw_answers(c).withColumn("clean", lb.clean_yes_no(F.col("raw")))
+
+
+@query
+def labels_clean_reason(c: Corpus) -> DataFrame:
+    return _raw_answers(c).withColumn("clean", lb.clean_reason(F.col("raw")))
+
+
+@query
+def labels_restricted(c: Corpus) -> DataFrame:
+    return _raw_answers(c).select("paper_id", "raw", lb.clean_restricted(F.col("raw")).alias("restricted"), lb.clean_int(F.col("raw")).alias("number"))
+
+
+def _new_labels(c: Corpus) -> DataFrame:
+    """The next load: some papers are gone, some have another citation."""
+    d = F.col("doc_id")
+    return c.labels().where(d % 7 != 0).withColumn("citation_raw", F.when(d % 5 == 0, F.concat("citation_raw", F.lit(" (rev)"))).otherwise(F.col("citation_raw"))).select("paper_id", "citation_raw", "split")
+
+
+@query
+def labels_upsert_keep_split(c: Corpus) -> DataFrame:
+    return lb.upsert_keep_split(c.labels().select("paper_id", "citation_raw", "split"), _new_labels(c))
+
+
+@query
+def labels_stale(c: Corpus) -> DataFrame:
+    return lb.stale(c.labels().select("paper_id", "citation_raw", "split"), _new_labels(c), allow_split=True)
+
+
+@query
+def labels_identifier_join(c: Corpus) -> DataFrame:
+    p = c.papers()
+    rows = p.select(F.concat(F.lit("r"), "paper_id").alias("row_id"), F.when(F.col("doc_id") % 4 != 0, F.col("doi")).otherwise("").alias("doi"), F.when(F.col("doc_id") % 3 == 0, F.col("pmid")).otherwise("").alias("pmid"))
+    return lb.join_by_identifier(rows, p.select("paper_id", "doi", "pmid"))
+
+
+def _authors(c: Corpus) -> DataFrame:
+    """Papers with invented authors: the surname is the source, the year from the id."""
+    d = F.col("doc_id")
+    authors = F.array(F.col("source"), F.concat(F.lit("co"), (d % 11).cast("string")), F.concat(F.lit("third"), (d % 3).cast("string")))
+    return c.papers().select("paper_id", "doc_id", F.col("source").alias("surname"), (F.lit(1990) + d % 23).alias("year"), authors.alias("authors"))
+
+
+@query
+def labels_author_year_join(c: Corpus) -> DataFrame:
+    p = _authors(c)
+    rows = p.select(F.concat(F.lit("r"), "paper_id").alias("row_id"), "surname", "year", F.array().cast("array<string>").alias("extras"))
+    return lb.join_author_year(rows, p.select("paper_id", "surname", "year", "authors")).select("row_id", "paper_id", "rule")
+
+
+@query
+def labels_positional_join(c: Corpus) -> DataFrame:
+    p = _authors(c)
+    rows = p.select(F.concat(F.lit("r"), "paper_id").alias("row_id"), "surname", "year", F.slice("authors", 2, 2).alias("extras"))
+    return lb.join_author_year(rows, p.select("paper_id", "surname", "year", "authors"))
+
+
+@query
+def labels_fuzzy_join(c: Corpus) -> DataFrame:
+    from dossier.functions.similarity import similarity
+
+    p = c.papers().select("paper_id", "lang", "source", F.col("title").alias("paper_title"))
+    rows = c.papers().where("doc_id % 50 = 0").select(F.concat(F.lit("r"), "paper_id").alias("row_id"), "lang", "source", F.upper("title").alias("row_title"))
+    return lb.join_fuzzy(rows, p, similarity(F.col("row_title"), F.col("paper_title")), "lang", "source")
+
+
+# --- corpus -----------------------------------------------------------------------------------------------------
+
+from dossier.operators import corpus as cp  # noqa: E402
+
+
+def _ledger(c: Corpus) -> DataFrame:
+    """Nine branches by disjoint or overlapping rules over the manifest."""
+    p = c.papers()
+    gone = p.where("verdict = 'DROPPED'")
+    names = [("cross_set_duplicate", "rule"), ("internal_duplicate", "rule"), ("identity", "human"), ("unreviewed", "rule"), ("cross_paper_reason", "rule"), ("disagreement", "human"), ("expert_review", "human"), ("text_integrity", "model")]
+    branches = [(n, by, gone.where(F.col("doc_id") % 8 == i).withColumn("reason", F.concat(F.lit("rule "), (F.col("doc_id") % 3).cast("string")))) for i, (n, by) in enumerate(names)]
+    return cp.ledger(*branches, ("pdf_missing", "rule", p.where("status = 'PDF_MISSING'").withColumn("reason", F.col("status"))))
+
+
+@query
+def ledger_union(c: Corpus) -> DataFrame:
+    return _ledger(c)
+
+
+@query
+def ledger_by_stage(c: Corpus) -> DataFrame:
+    from dossier.functions.columns import joined_set
+
+    return _ledger(c).groupBy("stage").agg(F.count("*").alias("n"), joined_set(F.col("decided_by")).alias("decided_by"), joined_set(F.col("reason"), "; ").alias("reasons"))
+
+
+@query
+def ledger_reconcile(c: Corpus) -> DataFrame:
+    return cp.reconcile(c.papers(), _ledger(c))
+
+
+@query
+def dedupe_identifier_collisions(c: Corpus) -> DataFrame:
+    return cp.collisions(c.papers(), "doi", "pmid", "md5")
+
+
+@query
+def dedupe_cross_set(c: Corpus) -> DataFrame:
+    return cp.cross_set(c.papers(), "unlabelled", "human_labelled", "doi", "pmid", "md5")
+
+
+def _pairs(c: Corpus) -> DataFrame:
+    return c.papers().select(F.col("md5").alias("pair_id"), "paper_id", "set")
+
+
+@query
+def dedupe_pairs_merge(c: Corpus) -> DataFrame:
+    return cp.merge_pairs(_pairs(c))
+
+
+@query
+def dedupe_orphans(c: Corpus) -> DataFrame:
+    return cp.orphans(cp.merge_pairs(_pairs(c)), c.labels().where("split = 'build'")).select("pair_id", "keep", "remove")
+
+
+def _decisions(c: Corpus) -> DataFrame:
+    d = F.col("doc_id")
+    return c.papers().where(d % 9 == 0).select("paper_id", F.when(d % 2 == 0, "VERIFIED").otherwise("DROPPED").alias("verdict"))
+
+
+@query
+def corpus_upsert(c: Corpus) -> DataFrame:
+    p = c.papers().select("paper_id", "verdict", "status")
+    return cp.upsert(p, _decisions(c).withColumn("status", F.lit("DECIDED")))
+
+
+@query
+def corpus_apply_verdict(c: Corpus) -> DataFrame:
+    return cp.apply_verdicts(c.papers(), _decisions(c))
+
+
+@query
+def corpus_drop_plan(c: Corpus) -> DataFrame:
+    p = c.papers()
+    reasons = p.where("status = 'PDF_MISSING'").select("paper_id", F.lit(2).alias("rank"), F.lit("no_pdf").alias("reason"))
+    twice = cp.merge_pairs(_pairs(c)).select(F.col("remove").alias("paper_id"), F.lit(1).alias("rank"), F.lit("duplicate").alias("reason"))
+    return cp.drop_plan(p, reasons.unionByName(twice))
+
+
+@query
+def checks_labels_closure(c: Corpus) -> DataFrame:
+    lab, p = c.labels(), c.papers().select("paper_id", "verdict", F.lit(True).alias("there"))
+    j = lab.join(p, "paper_id", "left")
+    return cp.checks(
+        ("C1_label_without_paper", j, F.col("there").isNull()), ("C2_label_of_dropped_paper", j, F.col("verdict") == "DROPPED"), ("C3_excluded_with_answer", lab, F.col("exclusion_reason").isNotNull() & F.col("power").isNotNull()),
+        ("C4_survivor_without_answer", lab, F.col("exclusion_reason").isNull() & (F.col("power").isNull() | F.col("stats").isNull())), ("C5_no_split", lab, F.col("split").isNull()), ("C6_answer_outside_vocabulary", lab, ~F.col("power").isin("yes", "no")),
+    )
+
+
+@query
+def checks_corpus_closure(c: Corpus) -> DataFrame:
+    p, shared = c.papers(), cp.collisions(c.papers(), "doi")
+    unjudged = p.where("verdict <> 'DROPPED'").join(c.judgments().select("paper_id").distinct().withColumn("judged", F.lit(True)), "paper_id", "left")
+    return cp.checks(
+        ("U1_no_identifier", p, F.coalesce(F.col("doi"), F.lit("")) == ""), ("U2_shared_doi", shared, F.lit(True)), ("U3_active_without_file", p, (F.col("verdict") != "DROPPED") & (F.col("status") != "OK")),
+        ("U4_unknown_verdict", p, ~F.col("verdict").isin("VERIFIED", "WEAK", "DROPPED")), ("U5_active_without_judgment", unjudged, F.col("judged").isNull()),
+    )
+
+
+@query
+def source_summary_rollup(c: Corpus) -> DataFrame:
+    lab = c.labels().select("paper_id", F.lit(True).alias("labelled"), F.col("exclusion_reason").isNotNull().alias("excluded"))
+    rows = c.papers().join(lab, "paper_id", "left").select("source", F.coalesce("labelled", F.lit(False)).alias("labelled"), F.coalesce("excluded", F.lit(False)).alias("excluded"))
+    return cp.source_summary(rows)
+
+
+@query
+def tree_subtree_paths(c: Corpus) -> DataFrame:
+    regions = c.table("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit("root").alias("parent"))
+    nations = c.table("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    root = c.spark.createDataFrame([("root", None)], "node string, parent string")
+    return cp.subtree(root.unionByName(regions).unionByName(nations), "root")
+
+
+# --- text -------------------------------------------------------------------------------------------------------
+
+from dossier.functions import text as tx  # noqa: E402
+
+
+@query
+def text_normalize_doi(c: Corpus) -> DataFrame:
+    raw = F.concat(F.element_at(F.array(F.lit("https://doi.org/"), F.lit("DOI: "), F.lit(" HTTP://dx.doi.org/"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")), F.upper("doi"), F.lit(".,"))
+    return c.papers().select("paper_id", tx.normalize_doi(raw).alias("doi"), tx.label_doi(raw).alias("label_doi"))
+
+
+@query
+def text_other_dois(c: Corpus) -> DataFrame:
+    text = F.concat(F.lit("see "), "doi", F.lit("; also (10.2000/a"), (F.col("doc_id") % 5).cast("string"), F.lit("), 10.2000/b; 10.2000/b."))
+    return c.papers().select("paper_id", F.array_join(tx.other_dois(F.col("doi"), text), " ").alias("others"))
+
+
+@query
+def text_correction_title(c: Corpus) -> DataFrame:
+    title = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Correction: ", "ERRATUM to ", "The correction of ", ""))), (F.col("doc_id") % 4 + 1).cast("int")), "title")
+    return c.papers().select("paper_id", tx.is_correction(title).alias("is_correction"))
+
+
+@query
+def text_admin_head(c: Corpus) -> DataFrame:
+    text = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Grant\n Application\n"), "text")).otherwise(F.col("text"))
+    return c.table("documents").select("doc_id", tx.is_administrative(text).alias("is_administrative"))
+
+
+@query
+def text_reference_strip(c: Corpus) -> DataFrame:
+    tail = F.concat(F.lit("\nReferences\n"), F.repeat(F.lit("1. Someone 2001.\n"), (F.col("doc_id") % 40).cast("int")), F.when(F.col("doc_id") % 3 == 0, "Appendix A\nmore").otherwise(""))
+    text = F.when(F.col("doc_id") % 5 != 0, F.concat("text", tail)).otherwise(F.col("text"))
+    out = c.table("documents").select("doc_id", tx.strip_references(text).alias("s"))
+    return out.select("doc_id", "s.reason", F.md5("s.kept").alias("kept_md5"), F.col("s.cut_chars").cast("long").alias("cut_chars"))
+
+
+@query
+def text_integrity_flags(c: Corpus) -> DataFrame:
+    pages = F.ceil(F.length("text") / 3000).cast("double")
+    docs = c.table("documents").select("doc_id", "text", pages.alias("pages"))
+    middle = docs.where("pages > 0").agg(F.median(F.length("text") / F.col("pages")).alias("median"))
+    return docs.crossJoin(F.broadcast(middle)).select("doc_id", F.array_join(tx.integrity_flags(F.col("text"), F.col("pages"), F.col("median")), ";").alias("flags"))
+
+
+@query
+def text_chars_per_page_median(c: Corpus) -> DataFrame:
+    return c.table("documents").where("length(text) > 0").agg(F.count("*").alias("n"), F.median(F.length("text") / F.ceil(F.length("text") / 3000)).alias("median"))
+
+
+@query
+def text_clean(c: Corpus) -> DataFrame:
+    text = F.concat(F.when(F.col("doc_id") % 3 == 0, "﻿").otherwise(""), F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("text", "\n", "\r\n")).otherwise(F.col("text")))
+    out = c.table("documents").select("doc_id", tx.clean_text(text).alias("s"))
+    return out.select("doc_id", F.md5("s.text").alias("text_md5"), "s.notes")
+
+
+@query
+def text_rule_citations(c: Corpus) -> DataFrame:
+    text = F.concat(F.lit("By E"), (F.col("doc_id") % 30).cast("string"), F.lit(" and P2, E1, E1, XE5, E123; D7."))
+    return c.table("documents").select("doc_id", F.array_join(tx.rule_citations(text), ",").alias("cited"), F.array_join(tx.rule_citations(text, "E"), ",").alias("task_rules"))
+
+
+@query
+def text_other_paper_flags(c: Corpus) -> DataFrame:
+    text = F.concat(F.lit("As Smith et al. (2001), Jones 1999 and Smith et al. (2001) say, not by "), F.substring("text", 1, 40), F.lit(" "), (F.lit(1900) + F.col("doc_id") % 120).cast("string"))
+    return c.table("documents").select("doc_id", F.array_join(tx.other_papers(text), "|").alias("others"))
