@@ -92,3 +92,32 @@ class Corpus:
             F.col("user_id").cast("string").alias("paper_id"), "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("started_at"), F.row_number().over(day).alias("attempt"),
             kind.alias("failure_kind"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("exit_code"), "event_type", "value",
         )
+
+    def replies(self) -> DataFrame:
+        """One stored reply per document and task, every tenth sound in another way or broken in another place."""
+        d, k = F.col("doc_id"), F.col("doc_id") % 10
+        tasks = self.spark.createDataFrame([("exclusion", "E"), ("power_analysis", "P")], "task string, prefix string")
+        x = self.table("documents").select("doc_id").crossJoin(F.broadcast(tasks))
+        rule = F.concat(F.when(d % 6 == 5, "D").otherwise(F.col("prefix")), (d % 4).cast("string"))
+        evidence = ladder([(k == 8, ""), (d % 8 == 7, "no rule")], None)
+        said = F.struct(
+            ladder([(k == 3, "perhaps"), (k == 7, "wrong_text"), (k == 9, " YES ")], "yes").alias("decision"), ladder([(k == 5, "")], "because").alias("reasoning"),
+            F.coalesce(evidence, F.concat(F.lit("rule "), rule)).alias("promptbook_evidence"), F.when(k == 4, 1.5).otherwise(0.5).alias("confidence"), F.when(k == 6, 1).alias("surprise"),
+        )
+        body = F.to_json(said)
+        raw = F.when(k == 2, "I think yes").when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+        return x.select(d.cast("string").alias("paper_id"), "doc_id", "task", raw.alias("raw"))
+
+    def reply_lines(self) -> DataFrame:
+        """Event streams from conversations: an init, a text block per assistant turn, a result, and a broken line."""
+        t = self.table("conversations").select(F.col("conv_id").cast("string").alias("stream_id"), "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+        block = F.array(F.struct(F.lit("text").alias("type"), "text"))
+        used = F.when(F.col("turn") % 2 == 1, F.struct((F.length("text")).cast("long").alias("input_tokens")))
+        said = t.where("role = 'assistant'").select("stream_id", (F.col("turn") * 10 + 10).alias("line"), F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(block.alias("content"), used.alias("usage")).alias("message"))).alias("raw"))
+        each = t.groupBy("stream_id").agg(F.max("conv_id").alias("conv_id"), F.max("turn").alias("top"), F.sum(F.length("text")).alias("chars"))
+        tools = F.when(F.col("conv_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("conv_id") % 3 == 1, F.array(F.lit("web")))
+        init = each.select("stream_id", F.lit(0).cast("long").alias("line"), F.to_json(F.struct(F.lit("system").alias("type"), F.lit("init").alias("subtype"), F.lit("m-1").alias("model"), F.concat(F.lit("s"), "stream_id").alias("session_id"), tools.alias("tools"))).alias("raw"))
+        use = F.when(F.col("conv_id") % 4 != 0, F.struct(F.col("chars").alias("input_tokens"), F.lit(7).alias("output_tokens")))
+        result = each.select("stream_id", (F.col("top") * 10 + 20).alias("line"), F.to_json(F.struct(F.lit("result").alias("type"), (F.col("chars") * 2).alias("duration_ms"), (F.col("conv_id") % 5 == 0).alias("is_error"), F.lit("done").alias("result"), use.alias("usage"))).alias("raw"))
+        broken = each.select("stream_id", F.lit(5).cast("long").alias("line"), F.lit('{"type": "assist').alias("raw"))
+        return said.unionByName(init).unionByName(result).unionByName(broken)

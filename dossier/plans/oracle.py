@@ -182,3 +182,40 @@ ORACLE |= {
         CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN length(text) > 550000 THEN 'too_long' END) AS notes FROM documents""",
     "text_rule_citations": "SELECT doc_id, 'E' || doc_id % 30 || ',P2,E1,E1,D7' AS cited, CASE doc_id % 30 WHEN 1 THEN 'E1' ELSE 'E' || doc_id % 30 || ',E1' END AS task_rules FROM documents",
 }
+
+TWICE = "tw AS (SELECT doc_id, doc_id % 10 AS k, task, prefix FROM documents, (VALUES ('exclusion', 'E'), ('power_analysis', 'P')) t(task, prefix))"
+PARSED = f"""{TWICE}, par AS (SELECT *, CAST(doc_id AS VARCHAR) AS paper_id, k = 1 AS fenced, CASE k WHEN 2 THEN NULL WHEN 3 THEN 'perhaps' WHEN 7 THEN 'wrong_text' ELSE 'yes' END AS decision,
+    CASE WHEN k = 2 THEN 'not_json' WHEN k = 6 THEN 'unknown_key' WHEN k = 3 THEN 'decision' WHEN k = 5 THEN 'reasoning' WHEN k = 8 THEN 'evidence' WHEN k = 4 THEN 'confidence' WHEN k = 7 AND task <> 'exclusion' THEN 'wrong_text_outside_exclusion' END AS failure,
+    CASE WHEN doc_id % 8 = 7 THEN '' ELSE CASE WHEN doc_id % 6 = 5 THEN 'D' ELSE prefix END || doc_id % 4 END AS cited FROM tw)"""
+STREAMS = "str AS (SELECT CAST(conv_id AS VARCHAR) AS stream_id, conv_id, max(turn) AS top, sum(length(coalesce(text, ''))) AS chars, count(*) FILTER (role = 'assistant') AS said FROM conversations GROUP BY conv_id)"
+AGENCY = "ag AS (SELECT doc_id, doc_id % 2 = 0 AS agency, quality = 1 AS correct, toxic = 1 AS ignored, doc_id % 3 AS stratum, n_chars FROM labels JOIN documents USING (doc_id))"
+CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+
+ORACLE |= {
+    "reply_parse": f"WITH {PARSED} SELECT paper_id, task, fenced, decision, failure FROM par",
+    "reply_validate": f"WITH {PARSED} SELECT task, coalesce(failure, 'none') AS failure, count(*) AS n, count(*) FILTER (fenced) AS fenced_n, coalesce(string_agg(DISTINCT decision, ';' ORDER BY decision), '') AS decisions FROM par GROUP BY ALL",
+    "reply_semantic": f"""WITH {PARSED} SELECT paper_id, task, decision, cited, CASE WHEN decision = 'wrong_text' THEN 'E7_wrong_text_uncited' WHEN cited = '' THEN 'E1_no_rule' WHEN doc_id % 6 = 5 THEN 'E10_rule_of_other_task' WHEN doc_id % 4 = 3 THEN 'E6_unknown_rule' END AS semantic_failure FROM par WHERE failure IS NULL""",
+    "reply_combined": """SELECT CAST(doc_id AS VARCHAR) AS paper_id, task, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN d END AS decision, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN c END AS confidence
+        FROM documents, (VALUES ('power_analysis', 'yes', 0.25::DOUBLE), ('data_analysis', 'no', 1.0::DOUBLE)) t(task, d, c)""",
+    "reply_text": "SELECT CAST(conv_id AS VARCHAR) AS stream_id, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), 'done')) AS text_md5 FROM conversations GROUP BY conv_id",
+    "reply_provenance": f"WITH {STREAMS} SELECT stream_id, 'm-1' AS model, 's' || stream_id AS session_id, (chars * 2)::BIGINT AS duration_ms, conv_id % 5 = 0 AS is_error, NULL::DOUBLE AS cost, said + 2 AS n_events FROM str",
+    "reply_tokens": f"""WITH {STREAMS}, f AS (SELECT conv_id, min_by(length(text), turn) AS first_used FROM conversations WHERE role = 'assistant' AND turn % 2 = 1 GROUP BY conv_id)
+        SELECT stream_id, (CASE WHEN str.conv_id % 4 <> 0 THEN chars ELSE first_used END)::BIGINT AS billed_input, CASE WHEN str.conv_id % 4 <> 0 THEN 7 END::BIGINT AS output_tokens FROM str LEFT JOIN f ON str.conv_id = f.conv_id""",
+    "reply_tools": f"WITH {STREAMS} SELECT stream_id, CASE conv_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END::INTEGER AS n_tools FROM str",
+    "reply_tool_use": "SELECT conv_id, turn, conv_id % 3 = 0 AS uses_tool FROM conversations",
+    "constant_confidence": f"WITH {JUDGMENTS} SELECT task, promptbook_version, count(confidence) AS n, count(DISTINCT confidence) AS distinct_n, count(confidence) >= 10 AND count(DISTINCT confidence) = 1 AS constant FROM jud GROUP BY ALL",
+    "stats_two_by_two": f"WITH {AGENCY} SELECT agency AS row_value, correct AS column_value, count(*) AS n FROM ag GROUP BY ALL",
+    "stats_characteristics": f"WITH {AGENCY} SELECT agency, correct, count(n_chars) AS n, median(n_chars)::DOUBLE AS median, min(n_chars) AS lowest, max(n_chars) AS highest FROM ag GROUP BY ALL",
+    "stats_flow_categories": """WITH h AS (SELECT regexp_matches(lower(text), 'licen[cs]e') AS l, contains(text, '@') AS a, contains(text, ' | ') AS t, regexp_matches(text, '[%&$]{2}') AS s FROM documents),
+        g AS (SELECT count(*) AS total, unnest([{'category': 'licence', 'n': count(*) FILTER (l)}, {'category': 'address', 'n': count(*) FILTER (a)}, {'category': 'table', 'n': count(*) FILTER (t)}, {'category': 'symbol', 'n': count(*) FILTER (s)}]) AS c, count(*) FILTER (l) + count(*) FILTER (a) + count(*) FILTER (t) + count(*) FILTER (s) AS covered FROM h)
+        SELECT c.category AS category, c.n AS n, round(100.0::DOUBLE * c.n / total, 1) AS percent, covered = total AS adds_up FROM g""",
+    "stats_fisher_exact": f"""WITH {AGENCY}, t AS (SELECT stratum, count(*) FILTER (agency AND correct) AS a, count(*) FILTER (agency) AS r1, count(*) FILTER (NOT agency) AS r2, count(*) FILTER (correct) AS c1, count(*) AS n FROM ag GROUP BY stratum),
+        k AS (SELECT *, unnest(range(greatest(0, c1 - r2), least(r1, c1) + 1)) AS k FROM t),
+        p AS (SELECT stratum, exp({CHOOSE.format('r1', 'k')} + {CHOOSE.format('r2', '(c1 - k)')} - {CHOOSE.format('n', 'c1')}) AS p, exp({CHOOSE.format('r1', 'a')} + {CHOOSE.format('r2', '(c1 - a)')} - {CHOOSE.format('n', 'c1')}) AS seen FROM k)
+        SELECT stratum, round(least(1, sum(p) FILTER (p <= seen * (1 + 1e-7))), 8) AS p_value FROM p GROUP BY stratum""",
+    "stats_cmh": f"""WITH {AGENCY}, t AS (SELECT stratum, count(*) FILTER (agency AND ignored)::DOUBLE AS a, count(*) FILTER (agency AND NOT ignored)::DOUBLE AS b, count(*) FILTER (NOT agency AND ignored)::DOUBLE AS c, count(*) FILTER (NOT agency AND NOT ignored)::DOUBLE AS d, count(*)::DOUBLE AS n FROM ag GROUP BY stratum)
+        SELECT count(*) AS strata, round(sum(a - (a + b) * (a + c) / n) ** 2 / sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))), 8) AS statistic, round(sum(a * d / n) / sum(b * c / n), 8) AS odds_ratio FROM t""",
+    "canary_verdict": f"""WITH {case_ctes('exclusion')}, x AS (SELECT truth, decision, CASE WHEN paper_id::BIGINT % 2 = 0 THEN 'yes' ELSE 'no' END AS decoy FROM cases WHERE judged AND truth IS NOT NULL),
+        r AS (SELECT count(*) AS n, count(*) FILTER (decision = truth) / count(*)::DOUBLE AS truth_rate, count(*) FILTER (decision = decoy) / count(*)::DOUBLE AS decoy_rate FROM x WHERE truth <> decoy)
+        SELECT *, decoy_rate > truth_rate AS suspicious, decoy_rate >= truth_rate + 0.15 AS leaked FROM r""",
+}

@@ -494,3 +494,118 @@ def text_rule_citations(c: Corpus) -> DataFrame:
 def text_other_paper_flags(c: Corpus) -> DataFrame:
     text = F.concat(F.lit("As Smith et al. (2001), Jones 1999 and Smith et al. (2001) say, not by "), F.substring("text", 1, 40), F.lit(" "), (F.lit(1900) + F.col("doc_id") % 120).cast("string"))
     return c.table("documents").select("doc_id", F.array_join(tx.other_papers(text), "|").alias("others"))
+
+
+# --- replies ----------------------------------------------------------------------------------------------------
+
+from dossier.operators import replies as rp  # noqa: E402
+
+
+@query
+def reply_parse(c: Corpus) -> DataFrame:
+    return rp.parse(c.replies()).select("paper_id", "task", "fenced", "decision", "failure")
+
+
+@query
+def reply_validate(c: Corpus) -> DataFrame:
+    return rp.checker_summary(rp.parse(c.replies()))
+
+
+@query
+def reply_semantic(c: Corpus) -> DataFrame:
+    rules = c.spark.createDataFrame([(t, f"{p}{i}") for t, p in rp.PREFIX.items() for i in range(3)], "task string, rule string")
+    return rp.semantic(rp.parse(c.replies()), rules)
+
+
+@query
+def reply_combined(c: Corpus) -> DataFrame:
+    half = F.when(F.col("doc_id") % 5 != 0, F.struct(F.lit("Yes").alias("decision"), F.lit(0.25).alias("confidence")))
+    other = F.struct(F.when(F.col("doc_id") % 7 != 0, "no").otherwise("maybe").alias("decision"), F.lit(1.0).alias("confidence"))
+    raw = c.table("documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.to_json(F.struct(half.alias("power_analysis"), other.alias("data_analysis"))).alias("raw"))
+    return rp.combined(raw)
+
+
+@query
+def reply_text(c: Corpus) -> DataFrame:
+    return rp.assistant_text(rp.events(c.reply_lines())).select("stream_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def reply_provenance(c: Corpus) -> DataFrame:
+    return rp.provenance(rp.events(c.reply_lines()))
+
+
+@query
+def reply_tokens(c: Corpus) -> DataFrame:
+    return rp.usage(rp.events(c.reply_lines()))
+
+
+@query
+def reply_tools(c: Corpus) -> DataFrame:
+    return rp.tools_offered(rp.events(c.reply_lines()))
+
+
+@query
+def reply_tool_use(c: Corpus) -> DataFrame:
+    """Blocks nested below a message; every third one is a tool's, others quote the words."""
+    nested = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('{"a": [{"b": {"type": "tool_use"}}], "t": '), F.to_json(F.struct("text")), F.lit("}"))).otherwise(F.concat(F.lit('{"type": "text", "t": "{\\"type\\": \\"tool_use\\"}", "x": '), F.to_json(F.struct("text")), F.lit("}")))
+    return c.table("conversations").select("conv_id", "turn", rp.uses_tool(nested).alias("uses_tool"))
+
+
+@query
+def canary_verdict(c: Corpus) -> DataFrame:
+    x = _cases(c).where("judged and truth is not null").select("truth", "decision", F.when(F.col("paper_id").cast("long") % 2 == 0, "yes").otherwise("no").alias("decoy"))
+    return rp.canary(x)
+
+
+@query
+def constant_confidence(c: Corpus) -> DataFrame:
+    return rp.constant_confidence(c.judgments())
+
+
+# --- statistics and identity --------------------------------------------------------------------------------------
+
+from dossier.operators import stats as st  # noqa: E402
+
+
+def _agency(c: Corpus) -> DataFrame:
+    d = F.col("doc_id")
+    return c.table("labels").join(c.table("documents").select("doc_id", "n_chars", "text"), "doc_id").select("doc_id", (d % 2 == 0).alias("agency"), (F.col("quality") == 1).alias("correct"), (F.col("toxic") == 1).alias("ignored"), (d % 3).alias("stratum"), "n_chars", "text")
+
+
+@query
+def stats_two_by_two(c: Corpus) -> DataFrame:
+    return st.two_by_two(_agency(c), "agency", "correct")
+
+
+@query
+def stats_characteristics(c: Corpus) -> DataFrame:
+    return st.characteristics(_agency(c), "n_chars", "agency", "correct")
+
+
+@query
+def stats_flow_categories(c: Corpus) -> DataFrame:
+    return st.flow_categories(c.table("documents"), "text", {"licence": "licen[cs]e", "address": "@", "table": r" \| ", "symbol": "[%&$]{2}"})
+
+
+@query
+def stats_fisher_exact(c: Corpus) -> DataFrame:
+    t = st.cells(_agency(c), F.col("agency"), F.col("correct"), "stratum")
+    return st.fisher(t, "stratum").select("stratum", F.round("p_value", 8).alias("p_value"))
+
+
+@query
+def stats_cmh(c: Corpus) -> DataFrame:
+    t = st.cmh(st.cells(_agency(c), F.col("agency"), F.col("ignored"), "stratum"))
+    return t.select("strata", F.round("statistic", 8).alias("statistic"), F.round("odds_ratio", 8).alias("odds_ratio"))
+
+
+@query
+def identity_ladder(c: Corpus) -> DataFrame:
+    from dossier.operators.identity import decide
+
+    d = F.col("doc_id")
+    shown = F.when(d % 4 == 0, F.concat(F.lit("doi 10.1000/"), F.md5("text"), F.lit(" "), F.substring("text", 1, 900))).otherwise(F.substring("text", 1, 900))
+    names = F.array(F.coalesce(F.lower(F.get(F.split("text", " "), 2)), F.lit("")), F.lit("nobody"))
+    rows = c.table("documents").select(d.cast("string").alias("paper_id"), shown.alias("head"), F.concat(F.lit("10.1000/"), F.md5("text")).alias("doi"), F.substring("text", 1, 60).alias("title"), names.alias("surnames"))
+    return decide(rows)
