@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .text import U64
 
 #: Bytes of text in a chunk: its arrays of 64-bit numbers must fit into one Python worker.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("body", pa.binary())])
 MESSAGE_SQL = "bucket int, chunk int, body binary"
 

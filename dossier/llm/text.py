@@ -62,7 +62,7 @@ def raw_strings(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch | pa.Table, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch | pa.Table, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``most`` bytes of text each; a longer text comes alone and whole."""
     for part in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
         _, offsets = raw_strings(part.column(column))
