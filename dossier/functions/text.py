@@ -102,4 +102,4 @@ def rule_citations(c: Column, prefix: str | None = None) -> Column:
 def other_papers(c: Column) -> Column:
     """Mentions of other papers by author and year, sorted and distinct."""
     shape = r"[A-Z][a-z]+ (?:et al\.?,? )?\(?(?:19|20)[0-9]{2}\)?"
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(shape), F.lit(0)), F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(shape), F.lit(0)), lambda x: F.trim(x))))

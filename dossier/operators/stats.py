@@ -31,7 +31,7 @@ def fisher(tables: DataFrame, key: str) -> DataFrame:
     """Two-sided exact p: the sum over all tables with the same margins that are no likelier than this one."""
     a, b, c, d = (F.col(x) for x in "abcd")
     support = F.sequence(F.greatest(F.lit(0).cast("long"), a + b - (b + d)), F.least(a + b, a + c))
-    x = tables.select(key, "a", (a + b).alias("r1"), (c + d).alias("r2"), (a + c).alias("c1"), (a + b + c + d).alias("n"), F.explode(support).alias("k"))
+    x = tables.select(key, "a", (a + b).alias("r1"), (c + d).alias("r2"), (a + c).alias("c1"), (a + b + c + d).alias("n"), F.explode(support).alias("_k"))
 
     def log_choose(n: Column, k: Column) -> Column:
         return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
@@ -39,7 +39,7 @@ def fisher(tables: DataFrame, key: str) -> DataFrame:
     def pmf(k: Column) -> Column:
         return F.exp(log_choose(F.col("r1"), k) + log_choose(F.col("r2"), F.col("c1") - k) - log_choose(F.col("n"), F.col("c1")))
 
-    p = x.withColumn("p", pmf(F.col("k"))).withColumn("seen", pmf(F.col("a")))
+    p = x.withColumn("p", pmf(F.col("_k"))).withColumn("seen", pmf(F.col("a")))
     return p.groupBy(key).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("p") <= F.col("seen") * (1 + 1e-7), F.col("p")).otherwise(0.0))).alias("p_value"))
 
 

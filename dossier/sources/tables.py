@@ -81,7 +81,7 @@ def read_latex_table(lines: DataFrame, least: int = 20, width: int = 22) -> Data
     order = Window.orderBy("nth")
     x = lines.withColumn("entry", F.last(F.nullif(entry, F.lit("")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("is_data", data & ~F.col("value").startswith("%"))
     first = x.where("is_data and entry is not null").groupBy("entry").agg(F.min_by("value", "nth").alias("value"))
-    fields = F.transform(F.split(F.regexp_replace("value", r"\\\\\s*$", ""), "(?<!\\\\)&"), F.trim)
+    fields = F.transform(F.split(F.regexp_replace("value", r"\\\\\s*$", ""), "(?<!\\\\)&"), lambda x: F.trim(x))
     padded = F.slice(F.concat(fields, F.array_repeat(F.lit(""), width)), 1, width)
     return first.select(F.col("entry").cast("int").alias("entry"), padded.alias("fields"))
 

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 
-def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Files of attempts as they land."""
     return spark.readStream.schema(schema).parquet(path)
 
