@@ -301,8 +301,9 @@ def simhash_near_dedup(docs: DataFrame, *, shingle: int = 3, distance: int = 3)
 
 def simhash_filter(docs: DataFrame, *, shingle: int = 3, distance: int = 3) -> DataFrame:
     """One row of each component stays, with all its columns: that of the smallest doc_id (a null one only if there is no other)."""
-    signed = _signed(docs, shingle)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # no name can clash with ours
+    signed = _signed(docs.withColumnsRenamed(names), shingle)
     last = F.lit(2**63 - 1)
     firsts = _grouped(signed.select("doc_id", "_fp"), distance).groupBy("root").agg(F.min(F.struct(F.coalesce("least", last).alias("_id"), "_fp")).alias("one"))
     kept = signed.withColumn("_id", F.coalesce("doc_id", last)).join(firsts.select("one._id", "one._fp"), ["_id", "_fp"], "left_semi")
-    return kept.dropDuplicates(["_id", "_fp"]).select(docs.columns)
+    return kept.dropDuplicates(["_id", "_fp"]).select([F.col(names.get(c, c)).alias(c) for c in docs.columns])

@@ -57,7 +57,7 @@ def test_components(spark, block, monkeypatch):
     rows = [(i * 7 % 401, t) for i, t in enumerate(texts(300, 8))] + [(900, None), (901, " "), (None, "a b"), (902, "a b"), (902, "a b")]
     got = simhash_near_dedup(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute(rows)
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _fp int, _id int")
     left = simhash_filter(df)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in brute(rows)})
     assert [r.doc_id for r in simhash_filter(df.where("doc_id is null")).collect()] == [None]
