@@ -219,3 +219,28 @@ ORACLE |= {
         r AS (SELECT count(*) AS n, count(*) FILTER (decision = truth) / count(*)::DOUBLE AS truth_rate, count(*) FILTER (decision = decoy) / count(*)::DOUBLE AS decoy_rate FROM x WHERE truth <> decoy)
         SELECT *, decoy_rate > truth_rate AS suspicious, decoy_rate >= truth_rate + 0.15 AS leaked FROM r""",
 }
+
+ORACLE |= {
+    "manifest_extractable": f"WITH {PAPERS} SELECT paper_id, verdict, status FROM pap WHERE verdict IN ('VERIFIED', 'WEAK')",
+    "manifest_extraction_flags": """SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 31 = 0 THEN 'FAILED' WHEN regexp_matches(left(text, 60), '(?i)^\\\\s*(correction|corrigendum|erratum|retraction|expression of concern)\\\\b') THEN 'CORRECTION'
+        WHEN doc_id % 19 = 0 OR n_chars < 3000 THEN 'THIN' ELSE 'OK' END AS flag, CASE WHEN doc_id % 40 > 0 THEN n_chars / (doc_id % 40)::DOUBLE < 200 ELSE true END AS sparse FROM documents""",
+    "manifest_outstanding": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, md5(text) AS md5 FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
+    "manifest_coverage": "SELECT count(*) AS n, count(*) FILTER (doc_id % 4 <> 0) / count(*)::DOUBLE AS doi_share, 1.0::DOUBLE AS pmid_share, 1.0::DOUBLE AS md5_share FROM documents",
+    "manifest_histogram": f"WITH {SOURCES}, v AS (SELECT 'exclusion_reason' AS field, exclusion_reason AS value FROM src UNION ALL SELECT 'power', power FROM src UNION ALL SELECT 'stats', stats FROM src UNION ALL SELECT 'source', source FROM src) SELECT field, CASE value WHEN '' THEN '(blank)' ELSE value END AS value, count(*) AS n FROM v GROUP BY ALL",
+    "label_counts": f"WITH {LABELS} SELECT count(*) AS n, count(exclusion_reason) AS excluded, count(power) AS with_power, count(stats) AS with_stats, count(*) FILTER (split = 'build') AS build, count(*) FILTER (split = 'holdout') AS holdout FROM labs",
+    "label_descriptions": f"WITH {LABELS} SELECT paper_id, CASE WHEN exclusion_reason IS NOT NULL THEN 'excluded (' || exclusion_reason || ')' ELSE 'kept, power=' || coalesce(power, '?') || ' data=' || coalesce(stats, '?') END AS description FROM labs",
+    "token_display": "SELECT doc_id, CASE WHEN n_chars * 97 >= 1000000 THEN printf('%.1fM', n_chars * 97 / 1e6) WHEN n_chars * 97 >= 1000 THEN (n_chars * 97 // 1000) || 'k' ELSE CAST(n_chars * 97 AS VARCHAR) END AS shown FROM documents",
+    "run_fingerprints": """SELECT task, v AS promptbook_version, sha256('{"effort":"' || CASE v WHEN 'v1' THEN 'medium' ELSE 'high' END || '","promptbook_version":"' || v || '","task":"' || task || '"}') AS fingerprint, 'run-' || task || '-r1-' || left(sha256(v), 20) AS id
+        FROM (VALUES ('exclusion'), ('power_analysis'), ('data_analysis')) t(task), (VALUES ('v1'), ('v2')) x(v)""",
+    "run_snapshots": f"WITH {JUDGMENTS} SELECT task, count(*) AS n, 64 AS hash_chars FROM jud WHERE promptbook_version = 'v2' GROUP BY task",
+    "run_registration": """SELECT 'run-' || task || '-' || v AS run_id, CASE task WHEN 'data_analysis' THEN 'new' WHEN 'exclusion' THEN 'conflict' ELSE 'same' END AS state, CASE task WHEN 'exclusion' THEN 'effort' ELSE '' END AS fields
+        FROM (VALUES ('exclusion'), ('power_analysis'), ('data_analysis')) t(task), (VALUES ('v1'), ('v2')) x(v)""",
+    "round_preparation": "WITH m AS (SELECT source, CASE WHEN doc_id % 40 = 0 THEN 'unprepared' ELSE 'strip-1' END AS m FROM documents) SELECT source, count(DISTINCT m) AS methods, string_agg(DISTINCT m, ';' ORDER BY m) AS names, count(DISTINCT m) > 1 AS refused FROM m GROUP BY source",
+    "reply_leaked_ids": "SELECT 'id' || doc_id AS paper_id, 1::BIGINT AS n_leaked, 'id' || (doc_id + 1) AS first_leaked FROM documents WHERE doc_id % 3 = 0 AND doc_id + 1 IN (SELECT doc_id FROM documents)",
+    "round_severity": f"""WITH {ATTEMPTS}, k AS (SELECT left(started_at, 7) AS round, CASE WHEN attempt >= 5 THEN 'FATAL' ELSE failure_kind END AS kind FROM att)
+        SELECT round, count(*) AS n, count(*) FILTER (kind = 'process') AS n_process, count(*) FILTER (kind = 'parse') AS n_parse, count(*) FILTER (kind = 'semantic') AS n_semantic, count(*) FILTER (kind = 'FATAL') AS n_fatal, count(*) FILTER (kind = 'FATAL') > 0 AS discarded FROM k GROUP BY round""",
+    "citation_parse": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS number, 'Smith, J., & Roe, R.' AS names, CAST(1900 + doc_id % 120 AS VARCHAR) AS year, CASE doc_id % 5 WHEN 0 THEN 'b' ELSE '' END AS suffix FROM documents",
+    "citation_keys": "SELECT doc_id, 'smith' AS surname, CASE doc_id % 2 WHEN 0 THEN 'effect of light' ELSE 'study' END AS words, CAST(1900 + doc_id % 120 AS VARCHAR) AS year FROM documents",
+    "latex_cells": "SELECT doc_id, 'Café — ' || doc_id || '% x ü & more' AS text FROM documents",
+    "reading_conditions": f"WITH {JUDGMENTS} SELECT task, CASE promptbook_version WHEN 'v1' THEN 'whole' ELSE 'stripped' END AS condition, count(*) AS n FROM jud GROUP BY ALL",
+}

@@ -609,3 +609,115 @@ def identity_ladder(c: Corpus) -> DataFrame:
     names = F.array(F.coalesce(F.lower(F.get(F.split("text", " "), 2)), F.lit("")), F.lit("nobody"))
     rows = c.table("documents").select(d.cast("string").alias("paper_id"), shown.alias("head"), F.concat(F.lit("10.1000/"), F.md5("text")).alias("doi"), F.substring("text", 1, 60).alias("title"), names.alias("surnames"))
     return decide(rows)
+
+
+# --- manifest and records ---------------------------------------------------------------------------------------
+
+from dossier.functions import citations as ct  # noqa: E402
+from dossier.operators import manifest as mf  # noqa: E402
+
+
+@query
+def manifest_extractable(c: Corpus) -> DataFrame:
+    return mf.extractable(mf.active(c.papers())).select("paper_id", "verdict", "status")
+
+
+@query
+def manifest_extraction_flags(c: Corpus) -> DataFrame:
+    method = F.when(F.col("status") == "PDF_MISSING", "none").when(F.col("doc_id") % 19 == 0, "ocr").otherwise("text")
+    return c.papers().select("paper_id", mf.extraction_flag(method, F.col("title"), F.col("n_chars")).alias("flag"), mf.sparse(F.col("n_chars"), F.col("doc_id") % 40).alias("sparse"))
+
+
+@query
+def manifest_outstanding(c: Corpus) -> DataFrame:
+    """Texts whose extraction is missing or was made from another file."""
+    p = c.papers().select("paper_id", "doc_id", "md5")
+    done = p.where("doc_id % 3 <> 0").withColumn("md5", F.when(F.col("doc_id") % 5 == 0, F.md5("md5")).otherwise(F.col("md5")))
+    return mf.outstanding(p.select("paper_id", "md5"), done, "paper_id", "md5")
+
+
+@query
+def manifest_coverage(c: Corpus) -> DataFrame:
+    p = c.papers().withColumn("doi", F.when(F.col("doc_id") % 4 != 0, F.col("doi")).otherwise(" "))
+    return mf.coverage(p, "doi", "pmid", "md5")
+
+
+@query
+def manifest_histogram(c: Corpus) -> DataFrame:
+    return mf.histogram(c.label_sources(), "exclusion_reason", "power", "stats", "source")
+
+
+@query
+def label_counts(c: Corpus) -> DataFrame:
+    return mf.label_counts(c.labels())
+
+
+@query
+def label_descriptions(c: Corpus) -> DataFrame:
+    return c.labels().select("paper_id", mf.describe(F.col("exclusion_reason"), F.col("power"), F.col("stats")).alias("description"))
+
+
+@query
+def token_display(c: Corpus) -> DataFrame:
+    return c.table("documents").select("doc_id", mf.format_tokens(F.col("n_chars") * 97).alias("shown"))
+
+
+@query
+def run_fingerprints(c: Corpus) -> DataFrame:
+    r = c.runs()
+    return r.select("task", "promptbook_version", mf.fingerprint("task", "promptbook_version", "effort").alias("fingerprint"), mf.run_id(F.col("task"), F.lit(1), F.col("promptbook_version")).alias("id"))
+
+
+@query
+def run_snapshots(c: Corpus) -> DataFrame:
+    return mf.snapshot_id(c.judgments().where("promptbook_version = 'v2'"), "paper_id", "decision").select("task", "n", F.length("snapshot").alias("hash_chars"))
+
+
+@query
+def run_registration(c: Corpus) -> DataFrame:
+    r = c.runs()
+    again = r.withColumn("effort", F.when(F.col("task") == "exclusion", F.lit("low")).otherwise(F.col("effort")))
+    return mf.registration(r.where("task <> 'data_analysis'"), again, "run_id", "effort", "model", "config_fingerprint")
+
+
+@query
+def round_preparation(c: Corpus) -> DataFrame:
+    rows = c.papers().select("source", F.when(F.col("doc_id") % 40 == 0, "").otherwise("strip-1").alias("method"))
+    return mf.mixed_preparation(rows, "source", "method")
+
+
+@query
+def reply_leaked_ids(c: Corpus) -> DataFrame:
+    d = F.col("doc_id")
+    raw = F.concat(F.lit("about id"), d.cast("string"), F.lit(" and "), F.when(d % 3 == 0, F.concat(F.lit("id"), (d + 1).cast("string"))).otherwise("none"), F.lit("."))
+    replies = c.table("documents").select(F.concat(F.lit("id"), d.cast("string")).alias("paper_id"), raw.alias("raw"))
+    return mf.leaked_ids(replies, replies)
+
+
+@query
+def round_severity(c: Corpus) -> DataFrame:
+    return mf.severity(c.attempts())
+
+
+@query
+def citation_parse(c: Corpus) -> DataFrame:
+    d = F.col("doc_id")
+    text = F.concat(F.when(d % 2 == 0, F.concat(d.cast("string"), F.lit(". "))).otherwise(""), F.lit("Smith, J., & Roe, R. ("), (F.lit(1900) + d % 120).cast("string"), F.when(d % 5 == 0, "b").otherwise(""), F.lit("). Title."))
+    return c.table("documents").select("doc_id", ct.citation(text).alias("s")).select("doc_id", "s.*")
+
+
+@query
+def citation_keys(c: Corpus) -> DataFrame:
+    key = F.concat(F.lit("smith"), F.when(F.col("doc_id") % 2 == 0, "EffectOfLight").otherwise("Study"), (F.lit(1900) + F.col("doc_id") % 120).cast("string"))
+    return c.table("documents").select("doc_id", ct.cite_key(key).alias("s")).select("doc_id", "s.*")
+
+
+@query
+def latex_cells(c: Corpus) -> DataFrame:
+    cell = F.concat(F.lit(r"\textbf{Caf\'{e}}~--- "), F.col("doc_id").cast("string"), F.lit(r"\% $x$  \"u \& more"))
+    return c.table("documents").select("doc_id", ct.strip_latex(cell).alias("text"))
+
+
+@query
+def reading_conditions(c: Corpus) -> DataFrame:
+    return c.judgments().groupBy("task", ct.reading_condition(F.col("promptbook_version")).alias("condition")).agg(F.count("*").alias("n"))

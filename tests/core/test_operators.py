@@ -138,3 +138,11 @@ def test_corpus_keys(spark):
     new = spark.createDataFrame([("b", 2), ("c", 2)], "paper_id string, v int")
     assert {tuple(r) for r in cp.upsert(old, new).collect()} == {("a", 1), ("b", 2), ("c", 2)}
     assert fold("Éa-\nb  C!") == "eab c" and token_set("a b c", "c b a") == 100.0
+
+
+def test_rule_texts(spark):
+    from dossier.operators.manifest import rule_texts
+
+    book = ["# Rules", "1. **E5.** Not a", "   trial of people.", "2. **P1.** Power", "", "   is told.", "## Next", "   stray", "3. **D2.** Data", "Plain line"]
+    df = spark.createDataFrame([("b", i, v) for i, v in enumerate(book)], "book string, nth int, value string")
+    assert {r.rule: r.text for r in rule_texts(df).collect()} == {"E5": "**E5.** Not a trial of people.", "P1": "**P1.** Power is told.", "D2": "**D2.** Data"}
