@@ -9,7 +9,7 @@ from dossier.functions.columns import ladder
 from dossier.operators.splits import assign_split
 
 TASKS = ("exclusion", "power_analysis", "data_analysis")
-SPLIT_SEED, ROUND_SEED = "automated-ignore", "automated-ignore-rounds"
+SPLIT_SEED, ROUND_SEED = "dossier-split", "dossier-rounds"
 
 
 class Corpus:

@@ -6,7 +6,7 @@ gate AS (
         CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 'yes' ELSE 'no' END END AS power, CASE WHEN quality = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'no' ELSE 'yes' END END AS stats,
         'doc ' || doc_id AS citation_raw, CASE WHEN quality = 0 THEN 'excluded' ELSE 'survivor' END AS stratum FROM labels),
 place AS (
-    SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY ('0x' || left(sha256('automated-ignore:' || paper_id), 8))::BIGINT, paper_id) AS rn, count(*) OVER (PARTITION BY stratum) AS size FROM gate),
+    SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY ('0x' || left(sha256('dossier-split:' || paper_id), 8))::BIGINT, paper_id) AS rn, count(*) OVER (PARTITION BY stratum) AS size FROM gate),
 labs AS (SELECT *, CASE WHEN rn <= round_even(0.3 * size, 0) THEN 'holdout' ELSE 'build' END AS split FROM place)"""
 
 JUDGMENTS = """
@@ -58,7 +58,7 @@ _BINS = "bins AS (SELECT i::INTEGER AS bin, round(i * 0.1, 2)::DOUBLE AS lower,
 def _rounds(where: str) -> str:
     return f"""(SELECT paper_id, stratum, nth::INTEGER AS nth, ((nth - 1) // 50 + 1)::INTEGER AS round FROM (
         SELECT *, row_number() OVER (ORDER BY pos, stratum, paper_id) AS nth FROM (
-            SELECT paper_id, stratum, (row_number() OVER (PARTITION BY stratum ORDER BY ('0x' || left(sha256('automated-ignore-rounds:' || paper_id), 8))::BIGINT, paper_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS pos
+            SELECT paper_id, stratum, (row_number() OVER (PARTITION BY stratum ORDER BY ('0x' || left(sha256('dossier-rounds:' || paper_id), 8))::BIGINT, paper_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS pos
             FROM labs WHERE {where})))"""
 
 
@@ -105,7 +105,7 @@ ORACLE: dict[str, str] = {
     "history_lag": f"""WITH {LABELS}, {JUDGMENTS}, x AS (SELECT j.task, promptbook_version AS seq, decision, CASE j.task WHEN 'exclusion' THEN CASE WHEN exclusion_reason IS NULL THEN 'no' ELSE 'yes' END WHEN 'power_analysis' THEN power ELSE stats END AS truth FROM jud j JOIN labs USING (paper_id)),
         a AS (SELECT task, seq, round(avg((truth = decision)::INTEGER), 6) AS accuracy FROM x WHERE truth IS NOT NULL AND decision IN ('yes', 'no') GROUP BY ALL)
         SELECT task, seq, accuracy, lag(accuracy) OVER (PARTITION BY task ORDER BY seq) AS previous_accuracy, row_number() OVER (PARTITION BY task ORDER BY seq) > 1 AS comparable_to_previous FROM a""",
-    "split_rank": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, ('0x' || left(sha256('automated-ignore:' || doc_id), 8))::BIGINT / 4294967296.0::DOUBLE AS rank FROM documents",
+    "split_rank": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, ('0x' || left(sha256('dossier-split:' || doc_id), 8))::BIGINT / 4294967296.0::DOUBLE AS rank FROM documents",
     "split_assign": f"WITH {LABELS} SELECT paper_id, stratum, split FROM labs",
     "split_counts": f"WITH {LABELS} SELECT stratum, split, count(*) AS n FROM labs GROUP BY ALL",
     "rounds_interleave": f"WITH {LABELS} SELECT * FROM {_rounds("split = 'build'")}",
