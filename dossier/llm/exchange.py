@@ -23,6 +23,7 @@ from .text import U64
 CHUNK_BYTES = 4 << 20
 MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("body", pa.binary())])
 MESSAGE_SQL = "bucket int, chunk int, body binary"
+_MADE: list[str] = []
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
@@ -56,9 +57,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it again: a lost executor then costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/dossier-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete all that this driver has materialized, once no frame that reads it is in use; how many tables that were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_MADE)
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Sorted 64-bit hashes fall into equal ranges; where each bucket begins among them (one more than there are)."""
     scaled = ((sorted_hashes >> U64(32)) * U64(buckets)) >> U64(32)
