@@ -23,21 +23,32 @@ def four_way(truth: Column, decision: Column) -> Column:
     return ladder([(yes & said, "true_positive"), (yes & (decision == "no"), "false_negative"), ((truth == "no") & said, "false_positive"), ((truth == "no") & (decision == "no"), "true_negative")])
 
 
+def _outcome() -> Column:
+    return ladder([
+        (F.col("truth").isNull(), "unlabeled"), (F.col("judged").isNull(), "missing"), (F.col("decision").isin(*ABSTAIN), F.col("decision")),
+        (F.col("decision").isin("yes", "no"), four_way(F.col("truth"), F.col("decision"))),
+    ], "unlabeled")
+
+
 def cases(labels: DataFrame, latest: DataFrame, task: str) -> DataFrame:
     """Labels first: every eligible label gets a row, missing judgments too; judgments without truth are unlabeled."""
     truth = labels.select("paper_id", expected_decision(task).alias("truth")).where("truth is not null")
     said = latest.select("paper_id", "decision", "confidence", "run_id", F.lit(True).alias("judged"))
     joined = truth.join(said, "paper_id", "full_outer")
-    outcome = ladder([
-        (F.col("truth").isNull(), "unlabeled"), (F.col("judged").isNull(), "missing"), (F.col("decision").isin(*ABSTAIN), F.col("decision")),
-        (F.col("decision").isin("yes", "no"), four_way(F.col("truth"), F.col("decision"))),
-    ], "unlabeled")
-    return joined.select("paper_id", "truth", "decision", "confidence", "run_id", outcome.alias("outcome"), F.coalesce("judged", F.lit(False)).alias("judged"))
+    return joined.select("paper_id", "truth", "decision", "confidence", "run_id", _outcome().alias("outcome"), F.coalesce("judged", F.lit(False)).alias("judged"))
+
+
+def cases_by_task(labels: DataFrame, latest: DataFrame, *tasks: str) -> DataFrame:
+    """The cases of several tasks in one pass over labels and judgments."""
+    answers = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), expected_decision(t).alias("truth")) for t in tasks)))
+    truth = labels.select("paper_id", answers.alias("a")).select("paper_id", "a.task", "a.truth").where("truth is not null")
+    said = latest.select("paper_id", "task", "decision", "confidence", F.lit(True).alias("judged"))
+    return truth.join(said, ["paper_id", "task"], "full_outer").select("task", "paper_id", "truth", "decision", "confidence", _outcome().alias("outcome"))
 
 
-def confusion(found: DataFrame) -> DataFrame:
+def confusion(found: DataFrame, *by: str) -> DataFrame:
     of = {"tp": "true_positive", "tn": "true_negative", "fp": "false_positive", "fn": "false_negative", "undecidable": "undecidable", "wrong_text": "wrong_text", "missing": "missing", "unlabeled": "unlabeled"}
-    return found.agg(count_if(F.col("truth").isNotNull()).alias("eligible"), *(count_if(F.col("outcome") == v).alias(k) for k, v in of.items()))
+    return found.groupBy(*by).agg(count_if(F.col("truth").isNotNull()).alias("eligible"), *(count_if(F.col("outcome") == v).alias(k) for k, v in of.items()))
 
 
 def rates(counts: DataFrame) -> DataFrame:

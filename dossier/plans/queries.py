@@ -42,12 +42,9 @@ def eval_cases(c: Corpus) -> DataFrame:
 
 @query
 def eval_confusion(c: Corpus) -> DataFrame:
-    """One row per task."""
-    out = None
-    for task in TASKS:
-        one = ev.confusion(_cases(c, task)).withColumn("task", F.lit(task))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One row per task, all tasks in one pass."""
+    latest = jd.latest_judgments(c.judgments(), "paper_id", "task", version="v1")
+    return ev.confusion(ev.cases_by_task(c.labels().where("split = 'build'"), latest, *TASKS), "task")
 
 
 @query
