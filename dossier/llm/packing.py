@@ -5,8 +5,8 @@ entries, whatever the corpus' size: the driver sees counts by length and nothing
 of a sequence around the longest piece left, from undominated fillings only, and repeats that filling as often as
 the counts allow, so the plan has at most one step for each length.  A depth-first search with a bound on total
 waste tries other fillings; the best plan so far (at first best-fit decreasing) is the incumbent, and the
-search ends when it meets the lower bound, or after ``budget`` fillings (which limits the proof, not the pieces:
-every piece has its place in any plan).  Spark then ranks the pieces of each length and gives rank r its place
+search ends when it meets the lower bound, or after ``budget`` fillings and search steps, several descents to a
+complete plan (which limits the proof, not the pieces: every piece has its place in any plan).  Spark then ranks the pieces of each length and gives rank r its place
 in the plan.
 
 Defined results: a null text is an empty one and holds just the end id; documents longer than the capacity are
@@ -17,6 +17,7 @@ own; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from .text import slices
 from .tokens import open_tokenizer
 
 Filling = tuple[tuple[int, int], ...]
+#: Fillings and search steps: so many for each distinct length, and at least so many.
+DESCENTS, LEAST = 12, 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -73,60 +76,114 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Filling
     return [(f, n) for fs in by_room.values() for f, n in fs.items()]
 
 
-def fillings(room: int, counts: np.ndarray, waste: int, most: int = 12, steps: int = 40) -> list[Filling]:
-    """Undominated ways to fill ``room`` that leave at most ``waste``, best fit first.
+def _fillings(room: int, counts: np.ndarray, waste: int, left: list[int]) -> Iterator[Filling]:
+    """Undominated ways to fill ``room`` that leave at most ``waste``, least waste first, found one at a time.
 
-    Larger pieces come first; one piece that fills the room dominates everything, and a filling is
-    dominated if another one has the same number of pieces, each at least as long.
+    Larger pieces come first.  One piece that fills the room dominates everything, the longest piece that fits
+    dominates whatever is no longer than it, and a filling is dominated if another one has the same number of pieces,
+    each at least as long, or if one more piece fits in.  Exact pairs come by looking up complements; other fillings by
+    a search that enters no branch whose total can't be met (sums of pieces as bits of one number, as if each length
+    had any number of pieces).  ``counts`` must be the same at each step; ``left`` is what remains of the budget.
     """
     if room <= 0 or not counts[1 : room + 1].any():
-        return [()] if room <= waste else []
+        if room <= waste:
+            yield ()
+        return
     if counts[room]:
-        return [((room, 1),)]
-    sizes = np.flatnonzero(counts[: room + 1])[::-1]
-    out: list[tuple[int, int, Filling]] = []
-    pair = sizes[(sizes * 2 != room) & (counts[room - sizes] > 0)]
-    if len(pair):
-        a = int(pair[0])
-        out.append((0, 2, ((a, 1), (room - a, 1))))
-    elif room % 2 == 0 and counts[room // 2] > 1:
-        out.append((0, 2, ((room // 2, 2),)))
-    steps_left = [steps]
-
-    def search(rest: int, below: int, chosen: list[int]) -> None:
-        if steps_left[0] <= 0 or len(out) >= most:
-            return
-        steps_left[0] -= 1
-        fit = sizes[(sizes <= min(rest, below))]
-        fit = fit[[counts[s] > chosen.count(s) for s in fit[:16].tolist()] + [True] * max(0, len(fit) - 16)] if len(fit) else fit
-        if not len(fit):
-            if rest <= waste:
-                out.append((rest, len(chosen), tuple((s, chosen.count(s)) for s in dict.fromkeys(chosen))))
-            return
-        if counts[rest] > chosen.count(rest) and rest <= below:
-            out.append((0, len(chosen) + 1, tuple((s, [*chosen, rest].count(s)) for s in dict.fromkeys([*chosen, rest]))))
-            return
-        for s in fit[:4].tolist():
-            search(rest - s, s, [*chosen, s])
-
-    if not out:
-        search(room, room, [])
-    out.sort(key=lambda x: (x[0], x[1]))
-    kept: list[tuple[list[int], Filling]] = []
-    for _, _, f in out:
-        flat = [s for s, k in f for _ in range(k)]
-        if not any(len(flat) == len(o) and all(a <= b for a, b in zip(flat, o)) for o, _ in kept):
-            kept.append((flat, f))
-    return [f for _, f in kept]
-
-
-def bin_completion(counts: np.ndarray, capacity: int, budget: int = 2_000) -> list[tuple[Filling, int]]:
-    """Fillings and how many sequences have each; ``counts`` by length, from 0 to the capacity."""
+        yield ((room, 1),)
+        return
+    a = room
+    while True:  # exact pairs, longest first; nothing large is kept between steps
+        low = -(-room // 2)
+        has = counts[low:a] > 0
+        has &= counts[room - a + 1 : room - low + 1][::-1] > 0
+        if room % 2 == 0 and a > low and counts[low] < 2:
+            has[0] = False
+        found = np.flatnonzero(has)
+        if not len(found):
+            break
+        a = low + int(found[-1])
+        yield ((a, 1), (room - a, 1)) if a * 2 != room else ((a, 2),)
+    single = int(np.flatnonzero(counts[: room + 1])[-1])
+    seen: list[list[int]] = []
+    sizes: list[int] = []
+    reach: list[int] = []
+
+    def prepare() -> None:
+        """reach[i]: bit t is set if pieces of sizes[i:] can add up to t."""
+        sizes[:] = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+        bits, cut = 1, (1 << (room + 1)) - 1
+        table = [bits]
+        for s in reversed(sizes):
+            step = s
+            while step <= room:
+                bits |= (bits << step) & cut
+                step *= 2
+            table.append(bits)
+        reach[:] = reversed(table)
+
+    prepare()
+    for lost in range(min(waste, room - single) + 1):
+        if not reach:
+            prepare()
+        if not reach[0] >> (room - lost) & 1:
+            continue
+        chosen: list[tuple[int, int]] = []  # place in sizes and number of pieces
+        rest, at, most = room - lost, 0, room
+        while True:
+            if left[0] <= 0:
+                return
+            if not rest:
+                own = {sizes[i]: k for i, k in chosen}
+                flat = [s for s, k in own.items() for _ in range(k)]
+                fits = any(counts[s] > own.get(s, 0) for s in range(1, lost + 1))
+                if not fits and (lost or len(flat) != 2) and not any(len(o) == len(flat) and all(x <= y for x, y in zip(flat, o)) for o in seen):
+                    seen.append(flat)
+                    sizes.clear()
+                    reach.clear()
+                    yield tuple(own.items())
+                    prepare()
+                at = len(sizes)
+            else:
+                left[0] -= 1
+                at = max(at, bisect_left(sizes, -rest, key=lambda s: -s))
+            k = 0
+            while at < len(sizes):  # as many of the longest as the rest allows, then fewer
+                k = min(most, int(counts[sizes[at]]), rest // sizes[at])
+                while k and not reach[at + 1] >> (rest - k * sizes[at]) & 1:
+                    k -= 1
+                if k or not reach[at + 1] >> rest & 1:
+                    break
+                at, most = at + 1, room
+            if k:
+                chosen.append((at, k))
+                rest -= k * sizes[at]
+                at, most = at + 1, room
+            elif chosen:
+                at, k = chosen.pop()
+                rest += k * sizes[at]
+                most = k - 1
+            else:
+                break
+
+
+def fillings(room: int, counts: np.ndarray, waste: int) -> list[Filling]:
+    """All of them at once."""
+    return list(_fillings(room, counts, waste, [1 << 62]))
+
+
+def bin_completion(counts: np.ndarray, capacity: int, budget: int | None = None) -> list[tuple[Filling, int]]:
+    """Fillings and how many sequences have each; ``counts`` by length, from 0 to the capacity.
+
+    ``budget`` counts fillings tried and steps of the search for them; by default it is DESCENTS times the number of
+    distinct lengths and at least LEAST, as one descent to a complete plan takes little more than a filling for each.
+    """
     counts = np.asarray(counts, np.int64).copy()
     bound, total = lower_bound(counts, capacity), int((np.arange(len(counts)) * counts).sum())
     best = best_fit_decreasing(counts, capacity)
     if not total or sum(n for _, n in best) == bound:
         return best
+    left = [max(LEAST, DESCENTS * np.count_nonzero(counts)) if budget is None else budget]
     path: list[tuple[Filling, int, int]] = []  # filling, times, waste of each step
     least, lost_so_far = sum(n for _, n in best), 0
 
@@ -136,16 +193,15 @@ def bin_completion(counts: np.ndarray, capacity: int, budget: int = 2_000) -> li
 
     def choices() -> tuple[int, Iterator[Filling]]:
         large = int(np.flatnonzero(counts)[-1])
-        counts[large] -= 1
-        found = fillings(capacity - large, counts, max(0, waste_left()))
-        counts[large] += 1
-        return large, iter(found)
+        return large, _fillings(capacity - large, counts, max(0, waste_left()), left)
 
     stack = [choices()]
-    while stack and budget > 0:
+    while stack and left[0] > 0:
         large, more = stack[-1]
+        counts[large] -= 1
         rest = next(more, None)
-        budget -= 1
+        counts[large] += 1
+        left[0] -= 1
         if rest is None:
             stack.pop()
             if path:
@@ -197,7 +253,7 @@ def cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity
             yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = 4096, budget: int = 2_000) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = 4096, budget: int | None = None) -> DataFrame:
     """Each piece of each document with its sequence and its place there."""
     pieces = materialize(docs.select("doc_id", "text").mapInArrow(lambda it: cut(it, tokenizer, end_id, capacity), PIECES))
     found = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
