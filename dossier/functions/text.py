@@ -80,7 +80,7 @@ def clean_text(c: Column) -> Column:
 
 
 def integrity_flags(text: Column, pages: Column, median: Column) -> Column:
-    """Array of flags that make a text suspicious."""
+    """Five of the flags that make a text suspicious, by looser patterns (those of the query with SQL); integrity_scan has all eight."""
     t = F.coalesce(text, F.lit(""))
     solid = F.regexp_replace(t, r"\s+", "")
     letters = F.length(F.regexp_replace(solid, r"[^\p{L}]", "")) / F.nullif(F.length(solid).cast("double"), F.lit(0.0))
@@ -93,6 +93,29 @@ def integrity_flags(text: Column, pages: Column, median: Column) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+# The reference's scan: patterns with its line and word rules (only a newline ends a line, Unicode blanks and words).
+SECOND_ARTICLE = r"(?imsdU)^\s*(?:references|bibliography|literature cited)\b.*?^\s*abstract\b"
+ANY_REFERENCE = r"(?iU)\breferences\b|\bbibliography\b|doi:\s*10\."
+FORM = r"(?iU)CONSORT-EHEALTH|Submission\s*/?\s*Publication Form|\bSubmission Form\b|\bPublication Form\b"
+FORM_CHARS = 600
+EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+
+
+def integrity_scan(text: Column, pages: Column, abstract: Column, median: Column) -> Column:
+    """The reference's eight flags, in its order; its text has no blanks at either end."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), EDGE, "")
+    solid = F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+", "")
+    letters = F.length(F.regexp_replace(solid, r"[^\p{L}]", "")) / F.nullif(F.length(solid).cast("double"), F.lit(0.0))
+    long = F.filter(F.transform(F.split(t, "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1), lambda x: F.regexp_replace(x, EDGE, "")), lambda x: F.length(x) > 15)
+    repeated = (F.size(long) - F.size(F.array_distinct(long))) / F.nullif(F.size(long).cast("double"), F.lit(0.0))
+    found = F.array(
+        F.when(t.rlike("\ufffd|Ã[\u0080-¿]|â€"), "mojibake"), F.when(t.rlike(SECOND_ARTICLE), "second_article"), F.when((t != "") & ~t.rlike(ANY_REFERENCE), "no_references"),
+        F.when((pages > 0) & (median > 0) & (F.length(t) / pages < 0.4 * median), "thin"), F.when((F.length(abstract) > 0) & (F.length(t) < 3 * F.length(abstract)), "short_for_abstract"),
+        F.when(letters < 0.6, "few_letters"), F.when((F.size(long) > 50) & (repeated > 0.3), "repeated_lines"), F.when(F.substring(t, 1, FORM_CHARS).rlike(FORM), "form"),
+    )
+    return F.filter(found, lambda x: x.isNotNull())
+
+
 def rule_citations(c: Column, prefix: str | None = None) -> Column:
     """Rule ids in order, repeated ones too; with a prefix only that task's, distinct."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(RULE), F.lit(0))

@@ -469,6 +469,16 @@ def text_integrity_flags(c: Corpus) -> DataFrame:
     return docs.crossJoin(F.broadcast(middle)).select("doc_id", F.array_join(tx.integrity_flags(F.col("text"), F.col("pages"), F.col("median")), ";").alias("flags"))
 
 
+@query
+def text_integrity_scan(c: Corpus) -> DataFrame:
+    k = F.col("doc_id") % 8
+    planted = F.when(k == 1, F.concat("text", F.lit("\nReferences\n1. One 2001.\n Abstract\nmore"))).when(k == 2, F.concat(F.lit("Submission Form\n"), "text")).when(k == 3, F.concat("text", F.lit("\ufffd doi: 10.1"))).when(k == 4, F.concat("text", F.lit(" doing"))).otherwise(F.col("text"))
+    abstract = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.substring("text", 1, 100))
+    docs = c.table("documents").select("doc_id", planted.alias("text"), abstract.alias("abstract")).withColumn("pages", F.ceil(F.length("text") / 3000).cast("double"))
+    middle = docs.where("pages > 0").agg(F.median(F.length("text") / F.col("pages")).alias("median"))
+    return docs.crossJoin(F.broadcast(middle)).select("doc_id", F.array_join(tx.integrity_scan(F.col("text"), F.col("pages"), F.col("abstract"), F.col("median")), ";").alias("flags"))
+
+
 @query
 def text_chars_per_page_median(c: Corpus) -> DataFrame:
     return c.table("documents").where("length(text) > 0").agg(F.count("*").alias("n"), F.median(F.length("text") / F.ceil(F.length("text") / 3000)).alias("median"))
