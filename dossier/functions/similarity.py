@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -28,7 +29,59 @@ def token_set(a: str, b: str) -> float:
         return 0.0
     both = " ".join(sorted(x & y))
     one, two = f"{both} {' '.join(sorted(x - y))}".strip(), f"{both} {' '.join(sorted(y - x))}".strip()
-    return max(_ratio(one, two), _ratio(both, one) if both else 0.0, _ratio(both, two) if both else 0.0)
+    best = max(_ratio(both, one), _ratio(both, two)) if both else 0.0
+    most = 200.0 * min(len(one), len(two)) / (len(one) + len(two))  # no ratio of the two is above
+    return max(best, _ratio(one, two)) if most > best else best
+
+
+def partial(a: str, b: str) -> float:
+    """The shorter text against the window of the longer one, of its length or cut off at an end, that has the most in common.
+
+    The measure is 200 x longest common subsequence / both lengths; all windows step through the shorter text's bits at once.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 0.0
+    if len(a) == len(b):
+        return max(_windows(a, b), _windows(b, a))
+    return _windows(a, b)
+
+
+def _windows(a: str, b: str) -> float:
+    m, n, words = len(a), len(b), -(-len(a) // 64)
+    codes = {c: i + 1 for i, c in enumerate(dict.fromkeys(a))}  # 0: in none of a's places
+    masks = np.zeros((len(codes) + 1, words), np.uint64)
+    for i, c in enumerate(a):
+        masks[codes[c], i // 64] |= np.uint64(1 << i % 64)
+    text = np.zeros(n + 2 * (m - 1), np.int64)
+    text[m - 1 : m - 1 + n] = [codes.get(c, 0) for c in b]
+    count = n + m - 1  # windows, with those that only begin or end inside
+    v = [np.full(count, 2**64 - 1, np.uint64) for _ in range(words)]
+    for j in range(m):
+        at = text[j : j + count]
+        carry = np.zeros(count, np.uint64)
+        for k in range(words):
+            u = v[k] & masks[at, k]
+            one = v[k] + u
+            two = one + carry
+            carry = ((one < u) | (two < carry)).astype(np.uint64)
+            v[k] = two | (v[k] - u)
+    common = np.zeros(count, np.int64)
+    for k in range(words):
+        here = min(64, m - 64 * k)
+        common += here - np.bitwise_count(v[k] & np.uint64((1 << here) - 1)).astype(np.int64)
+    start = np.arange(count) - (m - 1)
+    length = np.minimum(start + m, n) - np.maximum(start, 0)
+    return float((200.0 * common / (m + length)).max())
+
+
+def title_ratio(a: str, b: str) -> float:
+    """The better of the shared words and of the best window without blanks; both texts folded, 0 if either is empty."""
+    if not a or not b:
+        return 0.0
+    words = token_set(a, b)
+    return words if words >= 100.0 else max(words, partial(a.replace(" ", ""), b.replace(" ", "")))
 
 
 @F.pandas_udf(StringType())
@@ -39,4 +92,4 @@ def normalized(text: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     x, y = a.map(fold), b.map(fold)
-    return pd.Series([round(token_set(p, q), 2) for p, q in zip(x, y)], dtype="float64")
+    return pd.Series([round(title_ratio(p, q), 2) for p, q in zip(x, y)], dtype="float64")

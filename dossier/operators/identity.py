@@ -15,7 +15,7 @@ def signals(rows: DataFrame) -> DataFrame:
     compact = F.regexp_replace(F.lower("head"), r"(?U)\s+", "")
     doi = F.lower(F.coalesce("doi", F.lit("")))
     x = rows.withColumn("doi_found", (doi != "") & F.coalesce(F.expr("contains(regexp_replace(lower(head), '(?U)\\\\s+', ''), lower(doi))"), F.lit(False)))
-    x = x.withColumn("folded", normalized("head")).withColumn("title_score", similarity(F.col("title"), F.substring("head", 1, 120)))
+    x = x.withColumn("folded", normalized("head")).withColumn("title_score", similarity(F.col("title"), F.col("head")))
     present = F.filter("surnames", lambda s: (F.length(s) > 1) & F.contains(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")), F.concat(F.lit(" "), s, F.lit(" "))))
     return x.withColumn("n_present", F.size(present)).withColumn("first_present", F.array_contains(present, F.get(F.col("surnames"), F.lit(0)))).withColumn("administrative", is_administrative(F.col("head"))).withColumn("head_chars", F.length(compact))
 
