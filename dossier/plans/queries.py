@@ -493,13 +493,13 @@ def text_clean(c: Corpus) -> DataFrame:
 
 @query
 def text_rule_citations(c: Corpus) -> DataFrame:
-    text = F.concat(F.lit("By E"), (F.col("doc_id") % 30).cast("string"), F.lit(" and P2, E1, E1, XE5, E123; D7."))
+    text = F.concat(F.lit("By E"), (F.col("doc_id") % 30).cast("string"), F.lit(" and P2, E1, E1, XE5, E123; D7. "), "text")
     return c.table("documents").select("doc_id", F.array_join(tx.rule_citations(text), ",").alias("cited"), F.array_join(tx.rule_citations(text, "E"), ",").alias("task_rules"))
 
 
 @query
 def text_other_paper_flags(c: Corpus) -> DataFrame:
-    text = F.concat(F.lit("As Smith et al. (2001), Jones 1999 and Smith et al. (2001) say, not by "), F.substring("text", 1, 40), F.lit(" "), (F.lit(1900) + F.col("doc_id") % 120).cast("string"))
+    text = F.concat(F.lit("As Smith et al. (2001), Jones 1999 and Smith et al. (2001) say, not by "), "text", F.lit(" "), (F.lit(1900) + F.col("doc_id") % 120).cast("string"))
     return c.table("documents").select("doc_id", F.array_join(tx.other_papers(text), "|").alias("others"))
 
 
