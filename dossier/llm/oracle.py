@@ -24,12 +24,14 @@ ORACLE: dict[str, str] = {
     "op6_suffix_array_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         b AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS i, h FROM d),
-        w AS (SELECT doc_id, i, CASE WHEN 2 * i + 800 <= length(h) THEN md5(substr(h, 2 * i + 1, 800)) END AS s, substr(h, 2 * i + 1, 2) AS byte FROM b),
-        t AS (SELECT doc_id, i, byte, CASE WHEN s IS NOT NULL AND count(*) OVER (PARTITION BY coalesce(s, doc_id || '/' || i)) > 1 THEN 1 ELSE 0 END AS twice FROM w),
-        r AS (SELECT doc_id, i, byte, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM t),
+        w AS (SELECT doc_id, i, CASE WHEN 2 * i + 800 <= length(h) THEN md5(substr(h, 2 * i + 1, 800)) END AS s, CASE WHEN 2 * i + 400 <= length(h) THEN md5(substr(h, 2 * i + 1, 400)) END AS p, substr(h, 2 * i + 1, 2) AS byte FROM b),
+        t AS (SELECT doc_id, i, byte, CASE WHEN s IS NOT NULL AND count(*) OVER (PARTITION BY coalesce(s, doc_id || '/' || i)) > 1 THEN 1 ELSE 0 END AS twice,
+                     CASE WHEN p IS NOT NULL AND count(*) OVER (PARTITION BY coalesce(p, doc_id || '/' || i)) > 1 THEN 1 ELSE 0 END AS again FROM w),
+        r AS (SELECT doc_id, i, byte, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS repeated FROM t),
         e AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS begins FROM r),
-        k AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, sum(begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        k AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, sum(begins) AS n_spans, sum(repeated) AS n_repeated, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256,
+               coalesce(n_repeated, 0)::BIGINT AS n_repeated
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
     # The driver's pages are simple enough for patterns: one article of h1 and p blocks, and few character references.
     "op10_html_extraction": r"""

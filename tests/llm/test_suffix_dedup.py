@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from dossier.llm import suffix_dedup
 from dossier.llm.suffix_dedup import blind_trie, deep_shallow, reaches, suffix_array_dedup, suffix_array_filter
 
 
@@ -40,10 +41,12 @@ def test_reaches():
             hit = [(pre(l, a), pre(r, b)) for j, (a, b) in enumerate(ctx) if j != i]
             hit = [h for h in hit if sum(h) >= n]
             want.append((max((h[0] for h in hit), default=0), max((h[1] for h in hit), default=0)))
-        assert reaches([c[0] for c in ctx], [c[1] for c in ctx], n, 1) == want
+        assert reaches([c[0] for c in ctx], [c[1] for c in ctx], (n,), 1) == want
+        assert [x[:2] for x in reaches([c[0] for c in ctx], [c[1] for c in ctx], (n, n - 3), 1)] == want
+        assert [x[2:] for x in reaches([c[0] for c in ctx], [c[1] for c in ctx], (n + 2, n), 1)] == want
 
 
-def test_documents(spark):
+def test_documents(spark, monkeypatch):
     rng = random.Random(7)
     base = "".join(rng.choice("abcdé ") for _ in range(1500))
     rows = []
@@ -57,6 +60,11 @@ def test_documents(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")
     got = suffix_array_dedup(df, length=24, gram=8).collect()
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=str) == brute(rows, 24)
+    for many in (1_000, 3):
+        monkeypatch.setattr(suffix_dedup, "MANY", many)
+        got = suffix_array_dedup(df, length=48, passage=24, gram=8).collect()
+        assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=str) == brute(rows, 48)
+        assert sorted(((r.doc_id, r.n_bytes, r.n_repeated) for r in got), key=str) == sorted((x[:3] for x in brute(rows, 24)), key=str)
     for r in suffix_array_dedup(df, length=24, gram=8, whole_characters=True).collect():
         assert r.kept_text.encode() == bytes(r.kept) and len(r.kept) == r.n_bytes - r.n_removed
     left = suffix_array_filter(df.withColumnRenamed("row", "n_bytes"), length=24, gram=8)
