@@ -3,7 +3,7 @@ import re
 import pytest
 
 from dossier.llm import html_text
-from dossier.llm.html_text import main_text, read_page
+from dossier.llm.html_text import main_text, read_page, without
 
 
 def page(article, nav="Home About", extra=""):
@@ -11,7 +11,7 @@ def page(article, nav="Home About", extra=""):
 
 
 def text(source):
-    return "\n".join(t for t, _ in read_page(source)[0])
+    return "\n".join(read_page(source)[0])
 
 
 @pytest.mark.parametrize("source, want", [
@@ -21,12 +21,36 @@ def text(source):
     (page("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table><p>e <a title='x>y' href=q>f</a> g"), "a\nb\nc\nd\ne f g"),
     ("<div><header>H</header><p>body <i>text</i></p><div id=cookie-notice>no</div></div>", "body text"),
     ("<main><p>m</p></main><p>no</p>", "m"), ("<article><p>cut in the mid", "cut in the mid"), ("<p>a</p><p", "a"),
+    ("<article><p>A <a title=it's>link</a> tail don't stop</p><p>more</p></article>", "A link tail don't stop\nmore"), ("<article><p>A <a title=it's>link</a> tail</p></article>", "A link tail"), ("<p a=x>y' q=\"1>2\" z</p>", "y' q=\"1>2\" z"),
+    ("<article><h2 id='comments'>Comments on law</h2><div class='share-of-market'>Share</div><section class='related'><p>Long text about related things.</p></section><p>x</p></article>", "Comments on law\nShare\nLong text about related things.\nx"),
+    ("<article><p>x</p><div class='related'><a href=a>More</a> <a href=b>Most</a></div><div class='story ad'>Buy</div><div class='comments'>no</div></article>", "x"), ("<div class='main-nav'>n</div><div class='x nav y'>n</div><p>t</p>", "t"),
+    ("<b><article><p>one</b> two</p></article>", "one two"), ("<p>a<svg/>b <svg><text>no</text></svg>c", "ab c"), ("<p>a<!-->b--> c<!-- x --!>d", "ab--> cd"), ("<table><tr><td>a</div>b<td>c</table>d", "ab\nc\nd"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\nb\nc"),
+    ("<p>a<script>if (x</b>) '</scripty>'</script >b", "ab"), ("<p title='x class=ad y'>kept</p>", "kept"), ("<article><video><p>no</p></video><p>yes</p></article>", "yes"),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
 ])
 def test_rules(source, want):
     assert text(source or "") == want
 
 
+def test_time_in_proportion():
+    import time
+
+    spent = []
+    for n in (20_000, 80_000):
+        hard = ["<b>" * n + "<p>x" * n, "<div>" * n + "<p>x</p>" * n, "<b>" * n + "<td>x</td>" * n, "<p a='" * n, "<" * (8 * n), "<a b=" * n, "<!--" * n, "<b>" * n + "</i>" * n, "<ul><li>" * n]
+        began = time.thread_time()
+        for source in hard:
+            read_page(source)
+        spent.append(time.thread_time() - began)
+    assert spent[1] < 10 * spent[0] + 1
+
+
+def test_deleted_elements_take_what_they_hold():
+    blocks, inner, keys, ups = read_page("<body><div>a<section>b<div>c</div></section></div><div>d</div></body>")
+    assert blocks == ["a", "b", "c", "d"] and [ups[i] for i in inner] == [-1, inner[0], inner[1], -1]
+    assert without(blocks, inner, keys, ups, {keys[inner[1]]}) == "a\nd" and without(blocks, inner, keys, ups, {keys[inner[0]]}) == "d"
+
+
 def test_templates(spark, monkeypatch):
     rows = []
     for i in range(40):
