@@ -1,14 +1,20 @@
 """Count or compare keys over the whole corpus and bring each answer back to the chunk that asked.
 
 A chunk is a set of documents small enough for one task; a bucket is a range of key hashes.  Each chunk
-sends every bucket one packed message with the keys it holds there, the bucket answers each message with
+sends each bucket in which it has keys one packed message with them, the bucket answers each message with
 one packed reply, and the chunk reads the replies beside its own documents.  Nothing but these two
 exchanges moves, no key or document set is ever gathered on the driver, and as a chunk sends each of its
 keys once, a key that a third of all documents share costs no bucket more than one entry per chunk.
+
+Messages number chunks times buckets at most, as blocks of any shuffle do.  Buckets are as many as their memory
+asks for, not as there are chunks, and beyond CHUNKS chunks a chunk grows with the input up to MOST_CHUNK_BYTES:
+up to a GB of text messages are in proportion to it, and at a TB there are 20,000 chunks and 63,000 buckets.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,6 +27,10 @@ from .text import U64
 
 #: Bytes of text in a chunk: its arrays of 64-bit numbers must fit into one Python worker.
 CHUNK_BYTES = 4 << 20
+#: Chunks of that size at most; with more text each is larger, up to so many bytes (then a worker needs about 1 GB).
+CHUNKS, MOST_CHUNK_BYTES = 8_192, 64 << 20
+#: Buckets at least, and bytes of text whose keys one bucket takes.
+LEAST_BUCKETS, BUCKET_BYTES = 64, 16 << 20
 MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("body", pa.binary())])
 MESSAGE_SQL = "bucket int, chunk int, body binary"
 _MADE: list[str] = []
@@ -32,7 +42,14 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def chunks_for(df: DataFrame, column: str = "text", per: int = CHUNK_BYTES) -> int:
-    return max(1, -(-text_bytes(df, column) // per))
+    return sizes_for(df, column, per)[0]
+
+
+def sizes_for(df: DataFrame, column: str = "text", per: int = CHUNK_BYTES) -> tuple[int, int]:
+    """How many chunks and how many buckets."""
+    total = text_bytes(df, column)
+    size = max(per, min(total // CHUNKS, MOST_CHUNK_BYTES))
+    return max(1, -(-total // size)), max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
 
 
 def chunk_of(column: str, n: int) -> Column:
@@ -40,16 +57,16 @@ def chunk_of(column: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or one of our own where none is named (as in tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        got = spark.sparkContext.getCheckpointDir()
-        if got is None:
-            import tempfile
+    """The folder that the cluster shares: spark.checkpoint.dir, or that of checkpoint().
 
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dossier-"))
-            got = spark.sparkContext.getCheckpointDir()
-        named = got
+    In local mode one of our own is made where none is named; on a cluster that would be a folder that no other machine sees, so it raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dossier-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -77,16 +94,19 @@ def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(scaled, np.arange(buckets + 1, dtype=U64))
 
 
-def messages(chunk: int, edges: np.ndarray, body: Callable[[int, int], bytes], every: bool = False) -> pa.Table:
-    """One message per bucket that has keys (or per bucket, with ``every``)."""
-    live = [b for b in range(len(edges) - 1) if every or edges[b] < edges[b + 1]]
+def messages(chunk: int, edges: np.ndarray, body: Callable[[int, int], bytes]) -> pa.Table:
+    """One message per bucket that has keys; ``body`` makes that of the keys from one place to another."""
+    live = [b for b in range(len(edges) - 1) if edges[b] < edges[b + 1]]
     return pa.table([pa.array(live, pa.int32()), pa.array([chunk] * len(live), pa.int32()), pa.array([body(int(edges[b]), int(edges[b + 1])) for b in live], pa.binary())], schema=MESSAGE)
 
 
-def ask(docs: DataFrame, chunks: int, send: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
+def ask(docs: DataFrame, chunks: int, buckets: int, send: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """``docs`` are dealt by chunk; ``send`` makes a chunk's messages, ``answer`` the replies to one bucket's messages."""
-    sent = docs.groupBy("chunk").applyInArrow(send, MESSAGE_SQL)
-    return sent.repartition(chunks, "bucket").groupBy("bucket").applyInArrow(answer, MESSAGE_SQL)
+    return answered(docs.groupBy("chunk").applyInArrow(send, MESSAGE_SQL), chunks, buckets, answer)
+
+
+def answered(sent: DataFrame, chunks: int, buckets: int, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    return sent.repartition(min(chunks, buckets), "bucket").groupBy("bucket").applyInArrow(answer, MESSAGE_SQL)
 
 
 def deal(df: DataFrame, chunks: int, *columns: Column | str) -> DataFrame:

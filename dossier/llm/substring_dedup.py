@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import CHUNK_BYTES, ask, bodies, bucket_edges, chunks_for, deal, materialize, messages, read_back
+from .exchange import CHUNK_BYTES, answered, ask, bodies, bucket_edges, deal, materialize, messages, read_back, sizes_for
 from .text import SPANS_SQL, U64, Block, covered, runs, spans, strings
 
 SCHEMA = f"doc_id long, n_words long, n_removed long, kept_text string, removed {SPANS_SQL}"
@@ -154,17 +154,17 @@ def substring_dedup(docs: DataFrame, *, block: int = 7, chunk_bytes: int = CHUNK
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space) and removed (maximal removed
     runs as word start and length).
     """
-    n = chunks_for(docs, per=chunk_bytes)
+    n, m = sizes_for(docs, per=chunk_bytes)
     dealt = deal(docs, n, "doc_id", "text")
 
     def second(table: pa.Table, replies: pa.Table) -> _Chunk:
-        c = _Chunk(table, block, n)
-        c.windows(replies, n)
+        c = _Chunk(table, block, m)
+        c.windows(replies, m)
         return c
 
-    probes = materialize(ask(dealt, n, lambda t: _Chunk(t, block, n).probes(), _index))  # a bit per key; both later steps read it
+    probes = materialize(ask(dealt, n, m, lambda t: _Chunk(t, block, m).probes(), _index))  # a bit per key; both later steps read it
     sent = read_back(dealt, probes, n, lambda t, r: second(t, r).candidates() if len(t) else _none(), "bucket int, chunk int, body binary")
-    firsts = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_first, "bucket int, chunk int, body binary")
+    firsts = answered(sent, n, m, _first)
     both = probes.unionByName(firsts.selectExpr("-1 - bucket as bucket", "chunk", "body"))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
