@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import materialize
+from .exchange import drop, materialize
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +41,15 @@ def components(edges: DataFrame) -> DataFrame:
     while not both.isEmpty():
         parent = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
         if labels is None:
-            labels = parent.select(F.col("a").alias("node"), F.col("to").alias("root"))
+            new = materialize(parent.select(F.col("a").alias("node"), F.col("to").alias("root")))
         else:
             step = parent.withColumnRenamed("a", "root")
-            labels = materialize(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            new = materialize(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            drop(labels)
         once = both.join(parent, "a").select(F.col("to").alias("a"), "b")
         twice = once.join(parent.withColumnRenamed("a", "b"), "b").select("a", F.col("to").alias("b"))
-        both = materialize(twice.where("a <> b").distinct())
+        rest = materialize(twice.where("a <> b").distinct())
+        drop(both, parent)
+        both, labels = rest, new
+    drop(both)
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "node long, root long")

@@ -75,17 +75,37 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/dossier-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _MADE.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._made_at = path
+    return out
 
 
-def forget(spark: SparkSession) -> int:
-    """Delete all that this driver has materialized, once no frame that reads it is in use; how many tables that were."""
+def made() -> list[str]:
+    """The folders of all tables that this driver has materialized and not deleted, in order."""
+    return list(_MADE)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialized tables that no frame in use reads any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_made_at", None)
+        if path in _MADE:
+            forget(t.sparkSession, [path])
+
+
+def forget(spark: SparkSession, paths: list[str] | None = None, keep: DataFrame | None = None) -> int:
+    """Delete materialized tables (all of this driver's, or those in ``paths``) but for what ``keep`` reads; how many.
+
+    Only for tables that no frame in use reads.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_MADE)
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    used = {f for name in keep.inputFiles() for f in re.findall(r"dossier-[0-9a-f]{32}", name)} if keep is not None else set()
+    gone = [p for p in (made() if paths is None else paths) if p in _MADE and p.rsplit("/", 1)[1] not in used]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    return n
+        _MADE.remove(p)
+    return len(gone)
 
 
 def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import chunks_for, materialize
+from .exchange import chunks_for, drop, materialize
 from .text import SPANS_SQL, U64, Block, mix, powers, raw_strings, runs, slices, spans, strings
 from .text import _BASE_INV
 
@@ -259,6 +259,7 @@ def suffix_array_dedup(docs: DataFrame, *, length: int = 400, passage: int | Non
     twice = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").drop("n")
     twice = materialize(twice)  # an aggregate right below a join would keep Spark from splitting hot anchors
     live = materialize(found.join(twice, "anchor"))
+    drop(found, twice)
     classes = live.groupBy("anchor", "context", "mixed", "wide").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
     classes = materialize(classes.select("anchor", "context", "mixed", "wide", "n", "one.row", "one.at"))
     mixed = classes.where("mixed")
@@ -310,6 +311,7 @@ def suffix_array_dedup(docs: DataFrame, *, length: int = 400, passage: int | Non
     reach_of = {"l": F.when(F.col("wide"), length - gram).otherwise(0), "r": F.when(F.col("wide"), length).otherwise(0), "pl": F.when(F.col("wide"), length - gram).otherwise(passage - gram), "pr": F.when(F.col("wide"), length).otherwise(passage)}
     whole = classes.where("n > 1").select("anchor", "context", *(reach_of[x].cast("int").alias(x) for x in far_names))
     reach = materialize(whole.unionByName(compared).groupBy("anchor", "context").agg(*(F.max(x).alias(x) for x in far_names)))
+    drop(classes, many)
     shifted = [(F.col("at") + (F.col(x) if x.endswith("r") else -F.col(x))).alias(x) for x in far_names]
     hits = live.select("anchor", "context", "row", "at").join(reach, ["anchor", "context"]).select(F.pmod("row", F.lit(n)).cast("int").alias("chunk"), "row", *shifted)
 
