@@ -34,6 +34,7 @@ LEAST_BUCKETS, BUCKET_BYTES = 64, 16 << 20
 MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("body", pa.binary())])
 MESSAGE_SQL = "bucket int, chunk int, body binary"
 _MADE: list[str] = []
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
@@ -71,9 +72,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it again: a lost executor then costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/dossier-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    """Write a frame to the shared folder and read it again: a lost executor then costs no recomputation.
+
+    The shuffle files of the job go as it ends, as nothing reads them again; else they'd lie there until the driver collects its garbage.
+    """
+    conf = df.sparkSession.conf
+    path, was = f"{shared_dir(df.sparkSession)}/dossier-{uuid.uuid4().hex}", conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEAN_UP, was)
     _MADE.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._made_at = path
