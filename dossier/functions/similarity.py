@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -11,27 +11,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 
+_HYPHENATED = re.compile(r"-\s*\n\s*")
+_NO_WORD = re.compile(r"[^a-z0-9\s]")
+_BARE = re.compile(r"[^a-z0-9]")
+_NO_NAME = re.compile(r"[^A-Za-z\s'-]")
+
+
 def fold(text: str | None) -> str:
-    """Lower case without marks and punctuation, hyphenated line ends joined, one blank between words."""
+    """Lower case without marks and punctuation, words hyphenated across lines joined, one blank between words."""
     t = unicodedata.normalize("NFKD", text or "")
-    t = "".join(ch for ch in t if not unicodedata.combining(ch)).lower().replace("-\n", "")
-    return " ".join("".join(ch if ch.isascii() and ch.isalnum() else " " for ch in t).split())
+    t = _HYPHENATED.sub("", "".join(ch for ch in t if not unicodedata.combining(ch)).lower())
+    return " ".join(_NO_WORD.sub(" ", t).split())
+
+
+def last_name(text: str | None) -> str:
+    """The last word of a name as bare letters."""
+    t = unicodedata.normalize("NFKD", (text or "").replace("\u2019", "'").replace("\u2018", "'"))
+    parts = _NO_NAME.sub(" ", "".join(ch for ch in t if not unicodedata.combining(ch))).split()
+    return parts[-1].lower().replace("-", "").replace("'", "") if parts else ""
+
+
+def subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a row of the table as the bits of one number."""
+    if len(a) > len(b):
+        a, b = b, a
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        same = row & masks.get(c, 0)
+        row = ((row + same) | (row - same)) & full
+    return len(a) - row.bit_count()
 
 
 def _ratio(a: str, b: str) -> float:
-    return 100.0 * SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 0.0
+    """100 less the insertions and deletions between two texts in percent of both lengths."""
+    return 200.0 * subsequence(a, b) / (len(a) + len(b)) if a or b else 0.0
 
 
 def token_set(a: str, b: str) -> float:
-    """Shared words against shared words with either side's rest; the best of the three comparisons."""
+    """Shared words against shared words with either side's rest; the best of the three comparisons, 100 if one side has no rest."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
-    both = " ".join(sorted(x & y))
-    one, two = f"{both} {' '.join(sorted(x - y))}".strip(), f"{both} {' '.join(sorted(y - x))}".strip()
-    best = max(_ratio(both, one), _ratio(both, two)) if both else 0.0
-    most = 200.0 * min(len(one), len(two)) / (len(one) + len(two))  # no ratio of the two is above
-    return max(best, _ratio(one, two)) if most > best else best
+    both, one, two = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if both and not (one and two):
+        return 100.0
+    gap = 1 if both else 0
+    left, right = len(both) + gap + len(one), len(both) + gap + len(two)
+    same = len(both) + gap + subsequence(one, two)  # a common beginning is part of every longest subsequence
+    best = 200.0 * same / (left + right)
+    return max(best, 200.0 * len(both) / (len(both) + left), 200.0 * len(both) / (len(both) + right)) if both else best
 
 
 def partial(a: str, b: str) -> float:
@@ -49,14 +81,76 @@ def partial(a: str, b: str) -> float:
 
 
 def _windows(a: str, b: str) -> float:
-    m, n, words = len(a), len(b), -(-len(a) // 64)
     codes = {c: i + 1 for i, c in enumerate(dict.fromkeys(a))}  # 0: in none of a's places
+    common = _window_common(a, codes, np.array([codes.get(c, 0) for c in b]))
+    start = np.arange(len(common)) - (len(a) - 1)
+    length = np.minimum(start + len(a), len(b)) - np.maximum(start, 0)
+    return float((200.0 * common / (len(a) + length)).max())
+
+
+def title_ratio(a: str, b: str) -> float:
+    """The better of the shared words and of the best window without blanks; both texts folded, 0 if either is empty."""
+    if not a or not b:
+        return 0.0
+    words = token_set(a, b)
+    return words if words >= 100.0 else max(words, partial(a.replace(" ", ""), b.replace(" ", "")))
+
+
+@F.pandas_udf(StringType())
+def normalized(text: pd.Series) -> pd.Series:
+    return text.map(fold)
+
+
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = a.map(fold), b.map(fold)
+    return pd.Series([round(title_ratio(p, q), 2) for p, q in zip(x, y)], dtype="float64")
+
+
+@F.pandas_udf(StringType())
+def surname(name: pd.Series) -> pd.Series:
+    return name.map(last_name)
+
+
+def word_score(words: str, title: str) -> float:
+    """How well a citation key's title words fit a title: by words, by the best window, and by that without separators."""
+    low = title.lower()
+    return max(token_set(words, low), partial(words, low), partial(_BARE.sub("", words.lower()), _BARE.sub("", low)))
+
+
+def partial_many(a: str, texts: list[str]) -> np.ndarray:
+    """partial(a, t) of every text: those no shorter than ``a`` in one pass, laid end to end with gaps that no window spans."""
+    out = np.zeros(len(texts))
+    m = len(a)
+    long = [i for i, t in enumerate(texts) if m and len(t) > m]
+    for i, t in enumerate(texts):
+        if m and len(t) <= m:
+            out[i] = partial(a, t)
+    if long:
+        gap = "\0" * (m - 1)
+        size = np.array([len(texts[i]) for i in long])
+        begin = np.concatenate([[0], np.cumsum(size + m - 1)[:-1]])  # of each text's windows
+        joined = np.frombuffer(gap.join(texts[i] for i in long).encode("utf-32-le"), np.uint32)
+        codes = {ord(c): i + 1 for i, c in enumerate(dict.fromkeys(a))}
+        keys = np.array(sorted(codes), np.uint32)
+        at = np.minimum(np.searchsorted(keys, joined), len(keys) - 1)
+        symbols = np.where(keys[at] == joined, np.array([codes[int(k)] for k in keys])[at], 0)
+        common = _window_common(a, codes, symbols)
+        start = np.arange(len(common)) - np.repeat(begin, size + m - 1) - (m - 1)
+        length = np.minimum(start + m, np.repeat(size, size + m - 1)) - np.maximum(start, 0)
+        out[long] = np.maximum.reduceat(200.0 * common / (m + length), begin)
+    return out
+
+
+def _window_common(a: str, codes: dict, symbols: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of ``a`` with each window of its length, those that only begin or end inside the text too."""
+    m, n, words = len(a), len(symbols), -(-len(a) // 64)
     masks = np.zeros((len(codes) + 1, words), np.uint64)
     for i, c in enumerate(a):
-        masks[codes[c], i // 64] |= np.uint64(1 << i % 64)
+        masks[codes.get(c, codes.get(ord(c), 0)), i // 64] |= np.uint64(1 << i % 64)
     text = np.zeros(n + 2 * (m - 1), np.int64)
-    text[m - 1 : m - 1 + n] = [codes.get(c, 0) for c in b]
-    count = n + m - 1  # windows, with those that only begin or end inside
+    text[m - 1 : m - 1 + n] = symbols
+    count = n + m - 1
     v = [np.full(count, 2**64 - 1, np.uint64) for _ in range(words)]
     for j in range(m):
         at = text[j : j + count]
@@ -71,25 +165,17 @@ def _windows(a: str, b: str) -> float:
     for k in range(words):
         here = min(64, m - 64 * k)
         common += here - np.bitwise_count(v[k] & np.uint64((1 << here) - 1)).astype(np.int64)
-    start = np.arange(count) - (m - 1)
-    length = np.minimum(start + m, n) - np.maximum(start, 0)
-    return float((200.0 * common / (m + length)).max())
-
-
-def title_ratio(a: str, b: str) -> float:
-    """The better of the shared words and of the best window without blanks; both texts folded, 0 if either is empty."""
-    if not a or not b:
-        return 0.0
-    words = token_set(a, b)
-    return words if words >= 100.0 else max(words, partial(a.replace(" ", ""), b.replace(" ", "")))
+    return common
 
 
-@F.pandas_udf(StringType())
-def normalized(text: pd.Series) -> pd.Series:
-    return text.map(fold)
+def word_scores(words: str, titles: list[str]) -> np.ndarray:
+    """word_score(words, t) of every title."""
+    low = [t.lower() for t in titles]
+    bare = _BARE.sub("", words.lower())
+    sets = np.array([token_set(words, t) for t in low])
+    return np.maximum(np.maximum(sets, partial_many(words, low)), partial_many(bare, [_BARE.sub("", t) for t in low]))
 
 
 @F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = a.map(fold), b.map(fold)
-    return pd.Series([round(title_ratio(p, q), 2) for p, q in zip(x, y)], dtype="float64")
+def key_similarity(words: pd.Series, title: pd.Series) -> pd.Series:
+    return pd.Series([word_score(a or "", b or "") for a, b in zip(words, title)], dtype="float64")

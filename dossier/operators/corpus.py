@@ -71,6 +71,12 @@ def ledger(*branches: tuple[str, str, DataFrame]) -> DataFrame:
     return out
 
 
+def ledger_by_rules(manifest: DataFrame, *rules: tuple[str, str, Column, Column]) -> DataFrame:
+    """The same where all branches read the manifest: one scan, a row for each rule (stage, decided_by, condition, reason) that holds."""
+    items = F.array(*(F.when(c, F.struct(F.lit(stage).alias("stage"), F.lit(by).alias("decided_by"), reason.cast("string").alias("reason"))) for stage, by, c, reason in rules))
+    return manifest.select("paper_id", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("r")).select("paper_id", "r.*")
+
+
 def reconcile(manifest: DataFrame, book: DataFrame) -> DataFrame:
     """Do dropped papers of the manifest and papers of the ledger account for each other?"""
     dropped = manifest.where("verdict = 'DROPPED'").select("paper_id", F.lit(1).alias("d"))
@@ -99,9 +105,11 @@ def source_summary(rows: DataFrame) -> DataFrame:
 
 
 def subtree(edges: DataFrame, root: str) -> DataFrame:
-    """Every node below ``root`` with its path; edges are (node, parent)."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql("""WITH RECURSIVE t(node, path, depth) AS (
-        SELECT node, node AS path, 0 AS depth FROM _edges WHERE node = :root UNION ALL
-        SELECT e.node, concat(t.path, '/', e.node), t.depth + 1 FROM _edges e JOIN t ON e.parent = t.node) SELECT node, path, depth FROM t""", {"root": root})
+    """Every node below ``root`` with its path; edges are (node, parent).
+
+    Level by level inside Spark, up to its recursion limits (spark.sql.cteRecursionLevelLimit, 100 levels, and
+    spark.sql.cteRecursionRowLimit, a million rows unless set); a deeper or larger tree is an error, never a part of it.
+    """
+    return edges.sparkSession.sql("""WITH RECURSIVE t(node, path, depth) AS (
+        SELECT node, node AS path, 0 AS depth FROM {edges} WHERE node = :root UNION ALL
+        SELECT e.node, concat(t.path, '/', e.node), t.depth + 1 FROM {edges} e JOIN t ON e.parent = t.node) SELECT node, path, depth FROM t""", {"root": root}, edges=edges)

@@ -106,11 +106,12 @@ def calibration_bins(found: DataFrame) -> DataFrame:
 
 
 def calibration_summary(found: DataFrame) -> DataFrame:
-    """Mean confidence, accuracy, their gap, Brier score and expected calibration error."""
-    bins = calibration_bins(found)
-    ece = bins.agg((F.sum(F.col("n") * F.abs(F.col("mean_confidence") - F.col("accuracy"))) / F.sum("n")).alias("ece"))
-    s = scored_with_confidence(found).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg("correct").alias("accuracy"), F.avg(F.pow(F.col("confidence") - F.col("correct"), 2)).alias("brier"))
-    return s.withColumn("gap", F.col("mean_confidence") - F.col("accuracy")).crossJoin(F.broadcast(ece))
+    """Mean confidence, accuracy, their gap, Brier score and expected calibration error: sums per bin, then over the bins, in one pass over the cases."""
+    c = F.col("confidence")
+    of = F.least(F.floor(F.round(c * 10, 9)), F.lit(9))  # a bin's bounds are tenths
+    bins = scored_with_confidence(found).groupBy(of.alias("bin")).agg(F.count("*").alias("k"), F.sum(c).alias("c"), F.sum("correct").alias("r"), F.sum(F.pow(c - F.col("correct"), 2)).alias("b"))
+    n = F.sum("k")
+    return bins.agg(n.alias("n"), (F.sum("c") / n).alias("mean_confidence"), (F.sum("r") / n).alias("accuracy"), (F.sum("b") / n).alias("brier"), (F.sum("c") / n - F.sum("r") / n).alias("gap"), (F.sum(F.abs(F.col("c") - F.col("r"))) / n).alias("ece"))
 
 
 def thresholds(found: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def thresholds(found: DataFrame) -> DataFrame:
 
 def configuration(latest: DataFrame, runs: DataFrame) -> DataFrame:
     """Which configurations the latest judgments come from, all of them, and whether they compare."""
-    j = latest.join(F.broadcast(runs.select("run_id", "config_fingerprint", "effort", "model")), "run_id", "left")
+    j = latest.join(runs.select("run_id", "config_fingerprint", "effort", "model"), "run_id", "left")  # Spark broadcasts the runs while they are few
     g = j.agg(F.count("*").alias("judgments"), count_if(F.col("config_fingerprint").isNull()).alias("unprovenanced"), F.countDistinct("config_fingerprint").alias("configs"), *(joined_set(F.col(c)).alias(c + "s") for c in ("run_id", "effort", "model", "promptbook_version")))
     status = ladder([
         (F.col("judgments") == 0, "no_judgments"), (F.col("configs") == 0, "unprovenanced_legacy"), (F.col("unprovenanced") > 0, "mixed_with_unprovenanced"), (F.col("configs") > 1, "mixed_configuration"),
@@ -143,6 +144,15 @@ def judgment_first(labels: DataFrame, latest: DataFrame, task: str) -> DataFrame
     return g.withColumn("accuracy", ratio(F.col("correct"), F.col("correct") + F.col("wrong")))
 
 
+def status(judged: Column, truth: Column, decision: Column) -> Column:
+    """How a case counts: missing, abstained, not_scored, scored, invalid or unlabeled."""
+    return ladder([(truth.isNull(), "unlabeled"), (~judged, "missing"), (decision == "undecidable", "abstained"), (decision == "wrong_text", "not_scored"), (decision.isin("yes", "no"), "scored")], "invalid")
+
+
+def undecidable_rate(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("undecidable_rate", ratio(F.col("undecidable"), F.col("eligible") - F.col("missing")))
+
+
 def review_outcomes(found: DataFrame) -> DataFrame:
     """How many cases stand under each heading, in the order of review."""
     order = F.array_position(F.array(*(F.lit(o) for o in OUTCOMES)), F.col("outcome"))

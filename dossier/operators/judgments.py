@@ -28,19 +28,21 @@ def next_index(judgments: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def integrity(judgments: DataFrame, runs: DataFrame) -> DataFrame:
-    """Violations of the log's constraints by kind; no row means a sound log."""
-    def found(kind: str, rows: DataFrame) -> DataFrame:
-        return rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("violation"), "n")
-
-    twice = judgments.groupBy("paper_id", "task", "judgment_index").agg(F.count("*").alias("k")).where("k > 1")
-    response = judgments.where("response_id is not null").groupBy("response_id", "task").agg(F.count("*").alias("k")).where("k > 1")
-    unknown = judgments.where("run_id is not null").join(runs.select("run_id"), "run_id", "left_anti")
-    other = judgments.join(runs.select("run_id", F.col("task").alias("run_task")), "run_id").where("task <> run_task")
-    wrong = judgments.where(~F.col("decision").isin("yes", "no", "undecidable", "wrong_text") | (F.col("decision") == "wrong_text") & (F.col("task") != "exclusion"))
-    bounds = judgments.where("confidence < 0 or confidence > 1")
-    out = found("repeated_key", twice)
-    for kind, rows in (("repeated_response", response), ("unknown_run", unknown), ("run_of_other_task", other), ("decision_outside_vocabulary", wrong), ("confidence_outside_bounds", bounds)):
-        out = out.unionByName(found(kind, rows))
+    """Violations of the log's constraints by kind; a count of zero for each means a sound log.
+
+    Rules about single rows are counted in one scan beside their runs; the two about repeats group by their keys.
+    """
+    known = runs.select("run_id", F.col("task").alias("run_task"), F.lit(True).alias("known"))
+    j = judgments.join(known, "run_id", "left")
+    rules = {
+        "unknown_run": F.col("run_id").isNotNull() & F.col("known").isNull(), "run_of_other_task": F.col("known").isNotNull() & (F.col("task") != F.col("run_task")),
+        "decision_outside_vocabulary": ~F.col("decision").isin("yes", "no", "undecidable", "wrong_text") | (F.col("decision") == "wrong_text") & (F.col("task") != "exclusion"), "confidence_outside_bounds": (F.col("confidence") < 0) | (F.col("confidence") > 1),
+    }
+    one = j.agg(*(count_if(c).alias(k) for k, c in rules.items()))
+    out = one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("violation"), F.col(k).alias("n")) for k in rules))).alias("x")).select("x.*")
+    for kind, rows, key in (("repeated_key", judgments, ["paper_id", "task", "judgment_index"]), ("repeated_response", judgments.where("response_id is not null"), ["response_id", "task"])):
+        twice = rows.groupBy(*key).agg(F.count("*").alias("k")).agg(count_if(F.col("k") > 1).alias("n"))
+        out = out.unionByName(twice.select(F.lit(kind).alias("violation"), "n"))
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.columns import blank_to_null, count_if, ladder, ratio
@@ -49,9 +49,12 @@ def label_counts(labels: DataFrame) -> DataFrame:
     return labels.agg(F.count("*").alias("n"), count_if(has("exclusion_reason")).alias("excluded"), count_if(has("power")).alias("with_power"), count_if(has("stats")).alias("with_stats"), count_if(F.col("split") == "build").alias("build"), count_if(F.col("split") == "holdout").alias("holdout"))
 
 
-def describe(row_reason: Column, power: Column, stats: Column) -> Column:
+def describe(row_reason: Column, power: Column, stats: Column, category: Column | None = None) -> Column:
+    """One line for people about a row's answer."""
     reason = blank_to_null(row_reason)
-    return F.when(reason.isNotNull(), F.concat(F.lit("excluded ("), reason, F.lit(")"))).otherwise(F.concat(F.lit("kept, power="), F.coalesce(power, F.lit("?")), F.lit(" data="), F.coalesce(stats, F.lit("?"))))
+    kind = F.lit(None).cast("string") if category is None else blank_to_null(category)
+    kept = F.concat_ws(" ", F.concat(F.lit("kept, power="), F.coalesce(blank_to_null(power), F.lit("?"))), F.concat(F.lit("data="), F.coalesce(blank_to_null(stats), F.lit("?"))), F.concat(F.lit("category="), kind))
+    return F.when(reason.isNotNull(), F.concat(F.lit("excluded ("), reason, F.lit(")"))).otherwise(kept)
 
 
 def format_tokens(n: Column) -> Column:
@@ -69,9 +72,13 @@ def run_id(task: Column, number: Column, environment: Column) -> Column:
 
 
 def snapshot_id(rows: DataFrame, order: str, *fields: str) -> DataFrame:
-    """One hash per group over its rows in order; a group is one run's index."""
-    items = F.sort_array(F.collect_list(F.struct(order, *fields)))
-    return rows.groupBy("task").agg(F.sha2(F.to_json(items), 256).alias("snapshot"), F.count("*").alias("n"))
+    """One hash per group over its rows in order; a group is one run's index.
+
+    Rows are hashed one by one and their hashes gathered in order: 64 characters a row, whatever a row holds.
+    """
+    each = F.sha2(F.to_json(F.struct(order, *fields)), 256)
+    items = F.transform(F.sort_array(F.collect_list(F.struct(order, each.alias("h")))), lambda x: x["h"])
+    return rows.groupBy("task").agg(F.sha2(F.array_join(items, "\n"), 256).alias("snapshot"), F.count("*").alias("n"))
 
 
 def registration(old: DataFrame, new: DataFrame, key: str, *fields: str) -> DataFrame:
@@ -96,13 +103,10 @@ def leaked_ids(replies: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def severity(attempts: DataFrame) -> DataFrame:
-    """Each attempt's kind of failure, and whether its whole round must be discarded because one attempt is fatal."""
-    from pyspark.sql import Window
-
-    kind = ladder([(F.col("exit_code") != 0, "process"), (F.col("failure_kind") == "parse", "parse"), (F.col("failure_kind") == "semantic", "semantic")], "")
-    fatal = F.col("attempt") >= F.lit(5)
-    g = attempts.withColumn("round", F.substring("started_at", 1, 7)).withColumn("kind", F.when(fatal, "FATAL").otherwise(kind))
-    return g.groupBy("round").agg(F.count("*").alias("n"), *(count_if(F.col("kind") == k).alias(f"n_{k.lower()}") for k in ("process", "parse", "semantic", "FATAL"))).withColumn("discarded", F.col("n_fatal") > 0)
+    """Failures of each round by kind; one FATAL attempt (tools, provenance, leaked ids, a foreign token) voids the whole round."""
+    kinds = ("process", "parse", "semantic", "truncation", "incomplete", "FATAL")
+    g = attempts.groupBy("round").agg(F.count("*").alias("n"), *(count_if(F.col("failure_kind") == k).alias(f"n_{k.lower()}") for k in kinds))
+    return g.withColumn("discarded", F.col("n_fatal") > 0)
 
 
 def rule_texts(lines: DataFrame) -> DataFrame:
@@ -110,8 +114,6 @@ def rule_texts(lines: DataFrame) -> DataFrame:
 
     A promptbook is a page or two; the window runs inside one book.
     """
-    from pyspark.sql import Window
-
     begin = F.regexp_extract("value", r"^\s*[0-9]+\.\s+\*\*([EPD][0-9]{1,2})\.", 1)
     ends = F.col("value").rlike(r"^(#|\S)") & (begin == "")
     order = Window.partitionBy("book").orderBy("nth")
