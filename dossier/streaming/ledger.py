@@ -33,18 +33,31 @@ def latest(attempts: DataFrame) -> DataFrame:
 
 def token_totals(replies: DataFrame) -> DataFrame:
     """Running totals with the number of replies that report nothing; those are not counted as zero."""
-    return replies.groupBy("task").agg(F.sum("billed_input").alias("billed_input"), F.count("*").alias("replies"), F.count(F.when(F.col("billed_input").isNull(), 1)).alias("unreported"))
+    cost = F.sum(F.col("cost")) if "cost" in replies.columns else F.lit(None).cast("double")
+    return replies.groupBy("task").agg(F.sum("billed_input").alias("billed_input"), F.count("*").alias("replies"), F.count(F.when(F.col("billed_input").isNull(), 1)).alias("unreported"), cost.alias("cost"))
+
+
+PARTS = 64
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str, *key: str) -> DataStreamWriter:
-    """Write each batch to its own folder by number, without keys written before: a batch that runs again changes nothing."""
+    """Append rows whose key was never written, each batch to folders by part of the key and number of the batch.
+
+    A batch reads the earlier rows of those parts only in which it has keys, and of them the keys; its own folders it writes anew, so
+    a batch that runs again changes nothing, wherever the run before it stopped.
+    """
+    part = F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int").alias("part")
+
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         from dossier.sources.tables import exists
 
-        done = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != number).select(*key).distinct() if exists(spark, f"{path}/batch={number - 1}") else None
-        rows = batch.dropDuplicates(list(key))
-        (rows if done is None else rows.join(done, list(key), "left_anti")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(list(key)).withColumn("part", part).withColumn("batch", F.lit(number).cast("long"))
+        if exists(spark, path):
+            own = [r["part"] for r in rows.select("part").distinct().collect()]  # PARTS at most
+            done = spark.read.option("basePath", path).schema(rows.schema).parquet(path).where(F.col("part").isin(own) & (F.col("batch") != number))
+            rows = rows.join(done.select(*key), list(key), "left_anti")
+        rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("part", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
