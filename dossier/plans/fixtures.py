@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.columns import ladder
+from dossier.operators.replies import VERSION_FIELD
 from dossier.operators.splits import assign_split
 
 TASKS = ("exclusion", "power_analysis", "data_analysis")
@@ -99,10 +100,11 @@ class Corpus:
         tasks = self.spark.createDataFrame([("exclusion", "E"), ("power_analysis", "P")], "task string, prefix string")
         x = self.table("documents").select("doc_id").crossJoin(F.broadcast(tasks))
         rule = F.concat(F.when(d % 6 == 5, "D").otherwise(F.col("prefix")), (d % 4).cast("string"))
-        evidence = ladder([(k == 8, ""), (d % 8 == 7, "no rule")], None)
+        evidence = ladder([(k == 8, ""), ((k == 7) & (d % 4 == 3), " wrong_text "), (d % 8 == 7, "no rule")], None)
         said = F.struct(
             ladder([(k == 3, "perhaps"), (k == 7, "wrong_text"), (k == 9, " YES ")], "yes").alias("decision"), ladder([(k == 5, "")], "because").alias("reasoning"),
             F.coalesce(evidence, F.concat(F.lit("rule "), rule)).alias("promptbook_evidence"), F.when(k == 4, 1.5).otherwise(0.5).alias("confidence"), F.when(k == 6, 1).alias("surprise"),
+            F.when(d % 9 != 0, d.cast("string")).alias("paper_id"),
         )
         body = F.to_json(said)
         raw = F.when(k == 2, "I think yes").when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
@@ -111,13 +113,36 @@ class Corpus:
     def reply_lines(self) -> DataFrame:
         """Event streams from conversations: an init, a text block per assistant turn, a result, and a broken line."""
         t = self.table("conversations").select(F.col("conv_id").cast("string").alias("stream_id"), "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+        c, text = F.col("conv_id"), F.lit
         block = F.array(F.struct(F.lit("text").alias("type"), "text"))
         used = F.when(F.col("turn") % 2 == 1, F.struct((F.length("text")).cast("long").alias("input_tokens")))
-        said = t.where("role = 'assistant'").select("stream_id", (F.col("turn") * 10 + 10).alias("line"), F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(block.alias("content"), used.alias("usage")).alias("message"))).alias("raw"))
+        request = F.when(c % 11 != 0, F.concat(F.lit("req-"), "stream_id", F.lit("-"), F.col("turn").cast("string")))
+        said = t.where("role = 'assistant'").select("stream_id", (F.col("turn") * 10 + 10).alias("line"), F.to_json(F.struct(text("assistant").alias("type"), request.alias("request_id"), F.struct(block.alias("content"), used.alias("usage")).alias("message"))).alias("raw"))
         each = t.groupBy("stream_id").agg(F.max("conv_id").alias("conv_id"), F.max("turn").alias("top"), F.sum(F.length("text")).alias("chars"))
-        tools = F.when(F.col("conv_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("conv_id") % 3 == 1, F.array(F.lit("web")))
-        init = each.select("stream_id", F.lit(0).cast("long").alias("line"), F.to_json(F.struct(F.lit("system").alias("type"), F.lit("init").alias("subtype"), F.lit("m-1").alias("model"), F.concat(F.lit("s"), "stream_id").alias("session_id"), tools.alias("tools"))).alias("raw"))
-        use = F.when(F.col("conv_id") % 4 != 0, F.struct(F.col("chars").alias("input_tokens"), F.lit(7).alias("output_tokens")))
-        result = each.select("stream_id", (F.col("top") * 10 + 20).alias("line"), F.to_json(F.struct(F.lit("result").alias("type"), (F.col("chars") * 2).alias("duration_ms"), (F.col("conv_id") % 5 == 0).alias("is_error"), F.lit("done").alias("result"), use.alias("usage"))).alias("raw"))
+        tools = F.when(c % 3 == 0, F.array().cast("array<string>")).when(c % 3 == 1, F.array(F.lit("web")))
+        version = F.when(c % 17 != 0, F.concat(F.lit("2."), (c % 2).cast("string")))
+        model = F.when(c % 19 != 0, F.when(c % 23 == 0, "m-2").otherwise("m-1"))
+        init = each.select("stream_id", F.lit(0).cast("long").alias("line"), F.to_json(F.struct(text("system").alias("type"), text("init").alias("subtype"), model.alias("model"), version.alias(VERSION_FIELD), tools.alias("tools"))).alias("raw"))
+        use = F.when(c % 4 != 0, F.struct(F.col("chars").alias("input_tokens"), F.when(c % 2 == 0, 5).cast("long").alias("cache_read_input_tokens"), F.lit(7).alias("output_tokens"), F.when(c % 37 == 0, "fast").otherwise("standard").alias("speed"), text("standard").alias("service_tier")))
+        denied = F.when(c % 29 == 0, F.array(F.struct(text("t").alias("tool")))).otherwise(F.array().cast("array<struct<tool:string>>"))
+        stop = F.when(c % 31 == 0, "max_tokens").otherwise("end_turn")
+        result = each.where(c % 13 != 0).select("stream_id", (F.col("top") * 10 + 20).alias("line"), F.to_json(F.struct(
+            text("result").alias("type"), F.concat(F.lit("s"), "stream_id").alias("session_id"), (F.col("chars") * 2).alias("duration_ms"), F.col("top").alias("num_turns"), stop.alias("stop_reason"), (F.col("chars") / 64).alias("total_cost_usd"), denied.alias("permission_denials"),
+            text("done").alias("result"), use.alias("usage"))).alias("raw"))
         broken = each.select("stream_id", F.lit(5).cast("long").alias("line"), F.lit('{"type": "assist').alias("raw"))
         return said.unionByName(init).unionByName(result).unionByName(broken)
+
+    def checked(self) -> DataFrame:
+        """Checked responses of two tasks: accepted, failed, for papers with and without a label."""
+        d = F.col("doc_id")
+        tasks = self.spark.createDataFrame([("exclusion", 0, "E"), ("power_analysis", 1, "P")], "task string, t int, prefix string")
+        x = self.table("documents").select("doc_id").crossJoin(F.broadcast(tasks))
+        t = F.col("t")
+        decision = ladder([((d + t) % 7 == 0, "undecidable"), (((d + t) % 11 == 0) & (t == 0), "wrong_text"), ((d + t) % 3 == 0, "yes")], "no")
+        failed = (d + t) % 13 == 0
+        return x.select(
+            d.cast("string").alias("paper_id"), "doc_id", "task", F.concat(F.lit("tok"), d.cast("string")).alias("token"), F.when(failed, "failed").otherwise("ok").alias("status"), F.when(~failed, decision).alias("decision"),
+            ladder([(d % 10 == 0, "n/a"), (d % 10 == 1, "")], ((F.lit(50) + d % 50) / F.lit(100.0)).cast("string")).alias("confidence"), F.when(~failed, F.concat(F.col("prefix"), (d % 4).cast("string"), F.when(d % 2 == 0, "; X9").otherwise(""))).otherwise("").alias("cited_rules"),
+            F.when(failed, " none ").otherwise("").alias("promptbook_evidence"), ladder([(failed & (d % 2 == 0), "parse"), (failed, "process")], "").alias("failure_kind"), F.when(failed, F.repeat(F.lit("detail "), (d % 90).cast("int"))).otherwise("").alias("detail"),
+            F.concat(F.lit("raw/"), d.cast("string"), F.lit("."), t.cast("string")).alias("raw_path"), F.lit("r1").alias("round"), (F.lit(1) + d % 3).cast("int").alias("attempt"), F.when(failed & (d % 2 == 1), 1).otherwise(0).alias("exit_code"),
+        )

@@ -1,5 +1,25 @@
 """DuckDB SQL for the queries, written on its own from their rules."""
 
+NOTICE = r"(?i)^\s*[\[(]?\s*(?:author|publisher|editorial)?\s*(?:erratum|errata|corrigend(?:um|a)|correction|retract(?:ion|ed)?|withdrawn|addendum|expression\s+of\s+concern)\b[^:]{0,12}[:\])]"
+OTHER = r"\b[A-Z][a-z]{2,}\s+(?:et\s+al\.?|and\s+[A-Z][a-z]{2,}|&\s+[A-Z][a-z]{2,})[\s,]*\(?(?:19|20)\d{2}\)?|\b[A-Z][a-z]{2,}\s+\((?:19|20)\d{2}\)"
+REFERRED = r"""src AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text || chr(10) || ' 5. References:' || chr(10) || repeat('1. Someone 2001.' || chr(10), (doc_id % 40)::INTEGER) || CASE WHEN doc_id % 3 = 0 THEN 'Appendix A' || chr(10) || 'more' ELSE '' END ELSE text END AS text FROM documents)"""
+STRIP = REFERRED + r""", ln AS (SELECT doc_id, text, length(text) AS source_chars, string_split(text, chr(10)) AS lines FROM src),
+hd AS (SELECT *, len(lines) - list_position(list_reverse(list_transform(lines, lambda x: regexp_matches(x, '(?i)^[\s\d.)*•#]*(?:references?|reference list|bibliography|works cited|literature cited)\s*[:.]?\s*$'))), true) AS pos FROM ln),
+bd AS (SELECT *, array_to_string(lines[1:pos], chr(10)) AS body, lines[pos + 1:] AS tail FROM hd),
+rs AS (SELECT *, coalesce(list_position(list_transform(tail, lambda x: regexp_matches(x, '(?i)^[\s\d.)*•#]*(?:appendix|appendices|supplement(?:ary|al)?|additional file|supporting information|online supplement|web appendix|e-?appendix|annex)\b')), true), 0) AS after FROM bd),
+ct AS (SELECT *, CASE WHEN after > 1 THEN array_to_string(tail[after:], chr(10)) ELSE '' END AS rest FROM rs),
+cu AS (SELECT *, regexp_replace(body, '\s+$', '') || chr(10) || chr(10) || '[REFERENCES SECTION REMOVED]' || CASE WHEN rest <> '' THEN chr(10) || chr(10) || regexp_replace(rest, '^\n+', '') ELSE '' END || chr(10) AS cut FROM ct),
+why AS (SELECT *, CASE WHEN NOT regexp_matches(text, '\S') THEN 'empty' WHEN pos IS NULL THEN 'no_heading' WHEN length(body) < 0.3 * source_chars THEN 'heading_too_early' WHEN source_chars - length(cut) > 0.6 * source_chars THEN 'cut_too_large' ELSE '' END AS reason FROM cu),
+done AS (SELECT *, CASE WHEN reason IN ('empty', 'no_heading') THEN '' ELSE regexp_replace(lines[pos + 1], '^\s+|\s+$', '', 'g') END AS heading, CASE WHEN reason IN ('empty', 'no_heading') THEN -1 ELSE pos END::INTEGER AS heading_line, CASE reason WHEN '' THEN cut ELSE text END AS kept FROM why)"""
+FLAGS = r"""WITH d AS (SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN text || chr(10) || 'References' || chr(10) || '1. One 2001.' || chr(10) || ' Abstract' || chr(10) || 'more' WHEN 2 THEN 'Submission Form' || chr(10) || text WHEN 3 THEN text || chr(65533) || ' doi: 10.1' WHEN 4 THEN text || ' doing' ELSE text END AS whole, CASE WHEN doc_id % 5 = 0 THEN length(text) ELSE length(left(text, 100)) END AS abstract FROM documents),
+p AS (SELECT *, ceil(length(whole) / 3000::DOUBLE) AS pages FROM d), m AS (SELECT median(length(whole) / pages) AS m FROM p WHERE pages > 0),
+t AS (SELECT *, regexp_replace(whole, '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+$', '', 'g') AS t FROM p, m),
+l AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 15) AS long, regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+', '', 'g') AS solid FROM t)
+SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(t, chr(65533) || '|Ã¢â‚¬|Ã©|Ã¨|â€œ|â€\x{9d}|Ã\x{ad}') THEN 'F1_MOJIBAKE' END, CASE WHEN regexp_matches(t, '(?ims)^\s*(?:references|bibliography|literature cited)\b.*?^\s*abstract\b') THEN 'F2_MULTI_ARTICLE' END,
+    CASE WHEN t <> '' AND NOT regexp_matches(t, '(?i)\breferences\b|\bbibliography\b|doi:\s*10\.') THEN 'F3_NO_REFERENCES' END, CASE WHEN pages > 0 AND m > 0 AND length(t) / pages < 0.4 * m THEN 'F4_THIN_PER_PAGE' END, CASE WHEN abstract > 0 AND length(t) < 3 * abstract THEN 'F5_SHORT_VS_ABSTRACT' END,
+    CASE WHEN length(regexp_replace(solid, '[^\pL]', '', 'g')) / nullif(length(solid), 0)::DOUBLE < 0.6 THEN 'F6_LOW_ALPHA' END, CASE WHEN len(long) > 50 AND (len(long) - len(list_distinct(long))) / len(long)::DOUBLE > 0.3 THEN 'F7_REPETITIVE' END,
+    CASE WHEN regexp_matches(left(t, 600), '(?i)CONSORT-EHEALTH|Submission\s*/?\s*Publication Form|\bSubmission Form\b|\bPublication Form\b') THEN 'F8_SUBMISSION_FORM' END) AS flags FROM l"""
+
 LABELS = """
 gate AS (
     SELECT doc_id, CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN quality = 0 THEN 'low_quality' END AS exclusion_reason,
@@ -109,7 +129,6 @@ ORACLE: dict[str, str] = {
     "split_assign": f"WITH {LABELS} SELECT paper_id, stratum, split FROM labs",
     "split_counts": f"WITH {LABELS} SELECT stratum, split, count(*) AS n FROM labs GROUP BY ALL",
     "rounds_interleave": f"WITH {LABELS} SELECT * FROM {_rounds("split = 'build'")}",
-    "rounds_violations": f"WITH {LABELS}, r AS {_rounds('true')} SELECT 'B1_holdout' AS violation, count(*) AS n FROM r JOIN labs USING (paper_id) WHERE split = 'holdout' HAVING count(*) > 0",
     "rounds_membership_equal": f"""WITH {LABELS}, a AS (SELECT * FROM {_rounds("split = 'build' AND stratum = 'survivor'")} WHERE round = 1), b AS (SELECT * FROM {_rounds("split = 'build'")} WHERE round = 1)
         SELECT count(*) FILTER (b.paper_id IS NULL) AS only_a, count(*) FILTER (a.paper_id IS NULL) AS only_b, count(*) FILTER (a.paper_id IS NOT NULL AND b.paper_id IS NOT NULL) AS both_n FROM a FULL OUTER JOIN b ON a.paper_id = b.paper_id""",
 }
@@ -118,7 +137,7 @@ ORACLE: dict[str, str] = {
 SOURCES = f"""{LABELS}, base AS (SELECT paper_id, doc_id, coalesce(exclusion_reason, '') AS exclusion_reason, coalesce(power, '') AS power, coalesce(stats, '') AS stats, citation_raw FROM labs),
 src AS (SELECT *, 'A' AS source, 'labels_a.csv' AS source_file FROM base WHERE doc_id % 3 <> 0
     UNION ALL SELECT paper_id, doc_id, exclusion_reason, CASE WHEN doc_id % 11 = 0 AND power = 'yes' THEN 'no' WHEN doc_id % 11 = 0 AND power = 'no' THEN 'yes' ELSE power END, stats, citation_raw, 'B', 'labels_b.csv' FROM base WHERE doc_id % 5 <> 0)"""
-RAW = """raw AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, (['Yes', ' no (see text)', 'N', 'y, partly', '', 'maybe', 'Low_Quality', ' Not  a TRIAL ', 'None', 'unclear', 'strange reason', '17', ' 8 ', '8.5'])[doc_id % 14 + 1] AS raw FROM documents)"""
+RAW = """raw AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, (['Yes', ' no (see text)', 'N', 'y, partly', '', 'maybe', 'Pilot Study', ' Secondary  DATA analysis ', 'None', 'unclear', 'strange reason', '17', ' 8 ', '8.5'])[doc_id % 14 + 1] AS raw FROM documents)"""
 PAPERS = """pap AS (SELECT CAST(d.doc_id AS VARCHAR) AS paper_id, d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' ELSE 'human_labelled' END AS set, source, lang, left(text, 60) AS title, md5(text) AS md5, '10.1000/' || md5(text) AS doi,
     CAST(d.doc_id AS VARCHAR) AS pmid, CASE WHEN d.doc_id % 13 = 0 THEN 'DROPPED' WHEN d.doc_id % 17 = 0 THEN 'WEAK' ELSE 'VERIFIED' END AS verdict, CASE WHEN d.doc_id % 31 = 0 THEN 'PDF_MISSING' ELSE 'OK' END AS status
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
@@ -136,16 +155,16 @@ ORACLE |= {
     "labels_disagree": f"WITH {SOURCES} SELECT paper_id, count(*) AS n_rows, count(DISTINCT (exclusion_reason, power, stats)) AS n_answers FROM src GROUP BY paper_id HAVING count(DISTINCT (exclusion_reason, power, stats)) > 1",
     "labels_collapse": f"WITH {SOURCES} SELECT paper_id, string_agg(source_file, '; ' ORDER BY source) AS source_files, min(citation_raw) AS citations FROM src GROUP BY paper_id HAVING count(DISTINCT (exclusion_reason, power, stats)) = 1",
     "labels_gate": f"WITH {SOURCES} SELECT paper_id, source, nullif(exclusion_reason, '') AS exclusion_reason, CASE WHEN exclusion_reason = '' THEN 'yes' END AS power, CASE WHEN exclusion_reason = '' THEN nullif(stats, '') END AS stats FROM src",
-    "labels_clean_yes_no": f"WITH {RAW} SELECT *, CASE WHEN trim(raw) = '' THEN '' WHEN lower(regexp_extract(trim(raw), '^[^ (,-]*')) IN ('y', 'yes') THEN 'yes' WHEN lower(regexp_extract(trim(raw), '^[^ (,-]*')) IN ('n', 'no') THEN 'no' END AS clean FROM raw",
-    "labels_clean_reason": f"WITH {RAW} SELECT *, CASE trim(raw) WHEN '' THEN '' WHEN 'Low_Quality' THEN 'low_quality' WHEN 'Not  a TRIAL' THEN 'not a trial' ELSE 'other' END AS clean FROM raw",
+    "labels_clean_yes_no": f"WITH {RAW} SELECT *, CASE WHEN lower(regexp_extract(trim(raw), '^[^ (,-]*')) IN ('y', 'yes') THEN 'yes' WHEN lower(regexp_extract(trim(raw), '^[^ (,-]*')) IN ('n', 'no') THEN 'no' ELSE '' END AS clean FROM raw",
+    "labels_clean_reason": f"WITH {RAW} SELECT *, CASE trim(raw) WHEN '' THEN '' WHEN 'Pilot Study' THEN 'pilot_study' WHEN 'Secondary  DATA analysis' THEN 'secondary_analysis' ELSE 'other' END AS clean FROM raw",
     "labels_restricted": f"WITH {RAW} SELECT *, CASE lower(trim(raw)) WHEN '' THEN '' WHEN 'none' THEN 'no' WHEN 'no' THEN 'no' WHEN 'unclear' THEN 'unclear' ELSE 'yes' END AS restricted, CASE WHEN regexp_full_match(trim(raw), '[0-9]+') THEN trim(raw) ELSE '' END AS number FROM raw",
     "labels_upsert_keep_split": f"WITH {LABELS}, {NEW} SELECT n.paper_id, n.citation_raw, CASE WHEN o.citation_raw = n.citation_raw THEN split END AS split FROM newl n JOIN labs o USING (paper_id) UNION ALL SELECT paper_id, citation_raw, split FROM labs WHERE doc_id % 7 = 0",
     "labels_stale": f"WITH {LABELS} SELECT paper_id, citation_raw, split FROM labs WHERE doc_id % 7 = 0",
     "labels_identifier_join": f"""WITH {PAPERS}, u AS (SELECT doi, min(paper_id) AS p FROM pap GROUP BY doi HAVING count(*) = 1)
         SELECT 'r' || paper_id AS row_id, coalesce(u.p, CASE WHEN doc_id % 3 = 0 THEN paper_id END) AS paper_id, CASE WHEN u.p IS NOT NULL THEN 'doi' WHEN doc_id % 3 = 0 THEN 'pmid' ELSE 'none' END AS rule FROM pap LEFT JOIN u ON u.doi = pap.doi AND doc_id % 4 <> 0""",
-    "labels_author_year_join": f"WITH {AUTHORS}, k AS (SELECT surname, year, count(*) AS n FROM aut GROUP BY ALL) SELECT 'r' || paper_id AS row_id, CASE WHEN n = 1 THEN paper_id END AS paper_id, CASE WHEN n = 1 THEN 'author_year' ELSE 'ambiguous' END AS rule FROM aut JOIN k USING (surname, year)",
+    "labels_author_year_join": f"WITH {AUTHORS}, k AS (SELECT surname, year, count(*) AS n FROM aut GROUP BY ALL) SELECT 'r' || paper_id AS row_id, CASE WHEN n = 1 THEN paper_id END AS paper_id, CASE WHEN n > 1 THEN 'ambiguous' WHEN doc_id % 9 = 0 THEN 'author_year_suffix_sole_candidate' ELSE 'author_year' END AS rule FROM aut JOIN k USING (surname, year)",
     "labels_positional_join": f"""WITH {AUTHORS}, k AS (SELECT surname, year, count(*) AS n FROM aut GROUP BY ALL), h AS (SELECT a.paper_id, min(b.paper_id) AS p, count(*) AS hits FROM aut a JOIN aut b ON a.surname = b.surname AND a.year = b.year AND a.rest = b.rest GROUP BY a.paper_id)
-        SELECT 'r' || paper_id AS row_id, CASE WHEN n = 1 THEN paper_id ELSE p END AS paper_id, CASE WHEN n = 1 THEN 'author_year' ELSE 'positional' END AS rule, hits::INTEGER AS positional_hits FROM aut JOIN k USING (surname, year) JOIN h USING (paper_id)""",
+        SELECT 'r' || paper_id AS row_id, CASE WHEN n = 1 THEN paper_id ELSE p END AS paper_id, CASE WHEN n = 1 THEN 'author_year' ELSE 'author_position' END AS rule, hits AS positional_hits FROM aut JOIN k USING (surname, year) JOIN h USING (paper_id)""",
     "ledger_union": f"WITH {LEDGER} SELECT * FROM book",
     "ledger_by_stage": f"WITH {LEDGER} SELECT stage, count(*) AS n, string_agg(DISTINCT decided_by, ';' ORDER BY decided_by) AS decided_by, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons FROM book GROUP BY stage",
     "ledger_reconcile": f"""WITH {LEDGER}, x AS (SELECT p.*, b.paper_id IS NOT NULL AS listed FROM pap p LEFT JOIN (SELECT DISTINCT paper_id FROM book) b ON p.paper_id = b.paper_id)
@@ -158,49 +177,45 @@ ORACLE |= {
     "corpus_upsert": f"WITH {PAPERS}, {DECIDED} SELECT pap.paper_id, coalesce(decided, verdict) AS verdict, CASE WHEN decided IS NULL THEN status ELSE 'DECIDED' END AS status FROM pap LEFT JOIN dec USING (paper_id)",
     "corpus_apply_verdict": f"WITH {PAPERS}, {DECIDED} SELECT pap.paper_id, coalesce(decided, verdict) AS verdict, CASE WHEN decided IS NULL THEN 'untouched' WHEN decided = verdict THEN 'already' ELSE 'changed' END AS action FROM pap LEFT JOIN dec USING (paper_id)",
     "corpus_drop_plan": f"WITH {PAIRS} SELECT paper_id, verdict, CASE WHEN remove IS NOT NULL THEN 'duplicate' ELSE 'no_pdf' END AS reason FROM pap LEFT JOIN pairs ON remove = paper_id WHERE verdict <> 'DROPPED' AND (remove IS NOT NULL OR status = 'PDF_MISSING')",
-    "checks_labels_closure": f"""WITH {LABELS}, {PAPERS}, k AS (SELECT 'C1_label_without_paper' AS tag, count(*) AS offending FROM labs WHERE paper_id NOT IN (SELECT paper_id FROM pap)
-        UNION ALL SELECT 'C2_label_of_dropped_paper', count(*) FROM labs JOIN pap USING (paper_id) WHERE verdict = 'DROPPED' UNION ALL SELECT 'C3_excluded_with_answer', count(*) FROM labs WHERE exclusion_reason IS NOT NULL AND power IS NOT NULL
-        UNION ALL SELECT 'C4_survivor_without_answer', count(*) FROM labs WHERE exclusion_reason IS NULL AND (power IS NULL OR stats IS NULL) UNION ALL SELECT 'C5_no_split', count(*) FROM labs WHERE split IS NULL UNION ALL SELECT 'C6_answer_outside_vocabulary', count(*) FROM labs WHERE power NOT IN ('yes', 'no'))
-        SELECT tag, offending, offending = 0 AS ok FROM k""",
-    "checks_corpus_closure": f"""WITH {PAPERS}, {JUDGMENTS}, k AS (SELECT 'U1_no_identifier' AS tag, count(*) AS offending FROM pap WHERE doi = '' UNION ALL SELECT 'U2_shared_doi', count(*) FROM (SELECT 1 FROM pap GROUP BY doi HAVING count(*) > 1)
-        UNION ALL SELECT 'U3_active_without_file', count(*) FROM pap WHERE verdict <> 'DROPPED' AND status <> 'OK' UNION ALL SELECT 'U4_unknown_verdict', count(*) FROM pap WHERE verdict NOT IN ('VERIFIED', 'WEAK', 'DROPPED')
-        UNION ALL SELECT 'U5_active_without_judgment', count(*) FROM pap WHERE verdict <> 'DROPPED' AND paper_id NOT IN (SELECT paper_id FROM jud)) SELECT tag, offending, offending = 0 AS ok FROM k""",
     "source_summary_rollup": f"""WITH {LABELS}, {PAPERS}, x AS (SELECT source, stratum FROM pap LEFT JOIN labs USING (paper_id))
         SELECT coalesce(source, 'TOTAL') AS source, count(*) AS n, count(stratum) AS labelled, count(*) FILTER (stratum = 'excluded') AS excluded, count(*) FILTER (stratum = 'survivor') AS kept FROM x GROUP BY ROLLUP (source)""",
     "tree_subtree_paths": """SELECT 'root' AS node, 'root' AS path, 0 AS depth UNION ALL SELECT 'r' || r_regionkey, 'root/r' || r_regionkey, 1 FROM region UNION ALL SELECT 'n' || n_nationkey, 'root/r' || n_regionkey || '/n' || n_nationkey, 2 FROM nation""",
     "text_normalize_doi": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, '10.1000/' || md5(text) AS doi, CASE doc_id % 4 WHEN 1 THEN 'doi: ' ELSE '' END || '10.1000/' || md5(text) || '.,' AS label_doi FROM documents",
     "text_other_dois": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, '10.2000/a' || doc_id % 5 || ' 10.2000/b' AS others FROM documents",
-    "text_correction_title": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, doc_id % 4 < 2 AS is_correction FROM documents",
-    "text_admin_head": "SELECT doc_id, doc_id % 6 = 0 OR regexp_matches(lower(left(text, 1500)), 'grant\\s+application|principal\\s+investigator|budget\\s+period') AS is_administrative FROM documents",
-    "text_integrity_flags": """WITH d AS (SELECT doc_id, text, ceil(length(text) / 3000::DOUBLE) AS pages FROM documents), m AS (SELECT median(length(text) / pages) AS m FROM d WHERE pages > 0),
-        l AS (SELECT doc_id, text, pages, m, list_filter(string_split(text, chr(10)), lambda x: length(x) > 15) AS long, regexp_replace(text, '\\s+', '', 'g') AS solid FROM d, m)
-        SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(text, '\u00c3[\u0080-\u00bf]|\u00e2\u20ac') THEN 'mojibake' END, CASE WHEN NOT regexp_matches(lower(text), 'references|bibliography|doi') THEN 'no_references' END,
-            CASE WHEN pages > 0 AND length(text) / pages < 0.4 * m THEN 'thin' END, CASE WHEN length(regexp_replace(solid, '[^\\p{L}]', '', 'g')) / nullif(length(solid), 0)::DOUBLE < 0.6 THEN 'few_letters' END,
-            CASE WHEN len(long) > 50 AND (len(long) - len(list_distinct(long))) / len(long)::DOUBLE > 0.3 THEN 'repeated_lines' END) AS flags FROM l""",
+    "text_correction_title": f"SELECT CAST(doc_id AS VARCHAR) AS paper_id, regexp_matches((['Correction: ', 'ERRATUM to ', 'The correction of ', '[Retracted] ', 'Publisher Corrigendum to a: ', '(withdrawn)', ''])[doc_id % 7 + 1] || left(text, 60), '{NOTICE}') AS is_correction FROM documents",
+    "text_admin_head": """SELECT doc_id, regexp_matches(lower(regexp_replace(left(CASE WHEN doc_id % 5 = 0 THEN (['Summary' || chr(10) || ' Statement' || chr(10), 'Principal Investigator: ', 'PRIVILEGED  Communication '])[doc_id % 3 + 1] ELSE '' END || text, 1500), '\\s+', ' ', 'g')), 'privileged\\s+communication|\\bsummary\\s+statement\\b|resume\\s+and\\s+summar\\w*\\s+of\\s+discussion') AS is_administrative FROM documents""",
+    "text_integrity_flags": FLAGS,
     "text_chars_per_page_median": "SELECT count(*) AS n, median(length(text) / ceil(length(text) / 3000::DOUBLE)) AS median FROM documents WHERE length(text) > 0",
-    "text_clean": """SELECT doc_id, md5(text) AS text_md5, concat_ws(';', CASE WHEN doc_id % 3 = 0 THEN 'bom' END, CASE WHEN doc_id % 4 = 0 AND contains(text, chr(10)) THEN 'line_ends' END, CASE WHEN contains(text, '\ufffd') THEN 'replacement' END,
-        CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN length(text) > 550000 THEN 'too_long' END) AS notes FROM documents""",
+    "text_clean": """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 41 = 1 THEN '' ELSE text END AS text, doc_id % 4 <> 0 AND doc_id % 41 = 1 OR trim(text, ' ' || chr(10)) = '' AS empty FROM documents)
+        SELECT doc_id, md5(text) AS text_md5, length(text) > 550000 AS refused, concat_ws(';', CASE WHEN doc_id % 3 = 0 THEN 'bom_stripped' END, CASE WHEN doc_id % 4 = 0 AND contains(text, chr(10)) THEN 'crlf_normalized' END, CASE WHEN empty THEN 'empty' END,
+        CASE WHEN doc_id % 5 = 0 AND doc_id > 0 THEN 'refs_removed=' || doc_id WHEN doc_id % 7 = 0 THEN 'refs_kept:no_heading' END, CASE WHEN doc_id % 11 = 0 THEN 'refs_unprepared' END) AS notes FROM t""",
+    "text_reference_strip": f"WITH {STRIP} SELECT doc_id, reason = '' AS stripped, reason, heading, heading_line, md5(kept) AS text_md5, source_chars, length(kept) AS result_chars, source_chars - length(kept) AS removed_chars, CASE reason WHEN '' THEN length(rest) ELSE 0 END AS tail_chars FROM done",
+    "text_other_paper_flags": f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all('As Smith et al. (2001), Jones 1999 and Smith et al. (2001) say, Lee & Roe, 2020 and The 2019 cohort, not by ' || text || ' (' || (1900 + doc_id % 120) || ')', '{OTHER}'), lambda x: trim(x)))), '|') AS others FROM documents""",
     "text_rule_citations": "SELECT doc_id, 'E' || doc_id % 30 || ',P2,E1,E1,D7' AS cited, CASE doc_id % 30 WHEN 1 THEN 'E1' ELSE 'E' || doc_id % 30 || ',E1' END AS task_rules FROM documents",
 }
 
 TWICE = "tw AS (SELECT doc_id, doc_id % 10 AS k, task, prefix FROM documents, (VALUES ('exclusion', 'E'), ('power_analysis', 'P')) t(task, prefix))"
 PARSED = f"""{TWICE}, par AS (SELECT *, CAST(doc_id AS VARCHAR) AS paper_id, k = 1 AS fenced, CASE k WHEN 2 THEN NULL WHEN 3 THEN 'perhaps' WHEN 7 THEN 'wrong_text' ELSE 'yes' END AS decision,
     CASE WHEN k = 2 THEN 'not_json' WHEN k = 6 THEN 'unknown_key' WHEN k = 3 THEN 'decision' WHEN k = 5 THEN 'reasoning' WHEN k = 8 THEN 'evidence' WHEN k = 4 THEN 'confidence' WHEN k = 7 AND task <> 'exclusion' THEN 'wrong_text_outside_exclusion' END AS failure,
-    CASE WHEN doc_id % 8 = 7 THEN '' ELSE CASE WHEN doc_id % 6 = 5 THEN 'D' ELSE prefix END || doc_id % 4 END AS cited FROM tw)"""
-STREAMS = "str AS (SELECT CAST(conv_id AS VARCHAR) AS stream_id, conv_id, max(turn) AS top, sum(length(coalesce(text, ''))) AS chars, count(*) FILTER (role = 'assistant') AS said FROM conversations GROUP BY conv_id)"
+    CASE WHEN k = 7 AND doc_id % 4 = 3 OR doc_id % 8 = 7 THEN '' ELSE CASE WHEN doc_id % 6 = 5 THEN 'D' ELSE prefix END || doc_id % 4 END AS cited FROM tw)"""
+STREAMS = "str AS (SELECT CAST(conv_id AS VARCHAR) AS stream_id, conv_id, conv_id % 13 <> 0 AS ended, max(turn) AS top, sum(length(coalesce(text, ''))) AS chars, count(*) FILTER (role = 'assistant') AS said FROM conversations GROUP BY conv_id)"
+USED = """firsts AS (SELECT conv_id, min_by(length(text), turn) FILTER (turn % 2 = 1) AS first_used, min(turn) AS first_said FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+used AS (SELECT str.*, first_said, ended AND str.conv_id % 4 <> 0 AS own, (CASE WHEN ended AND str.conv_id % 4 <> 0 THEN chars ELSE first_used END)::BIGINT AS input_tokens, CASE WHEN ended AND str.conv_id % 4 <> 0 AND str.conv_id % 2 = 0 THEN 5 END::BIGINT AS cached FROM str LEFT JOIN firsts ON firsts.conv_id = str.conv_id)"""
 AGENCY = "ag AS (SELECT doc_id, doc_id % 2 = 0 AS agency, quality = 1 AS correct, toxic = 1 AS ignored, doc_id % 3 AS stratum, n_chars FROM labels JOIN documents USING (doc_id))"
 CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
 
 ORACLE |= {
     "reply_parse": f"WITH {PARSED} SELECT paper_id, task, fenced, decision, failure FROM par",
     "reply_validate": f"WITH {PARSED} SELECT task, coalesce(failure, 'none') AS failure, count(*) AS n, count(*) FILTER (fenced) AS fenced_n, coalesce(string_agg(DISTINCT decision, ';' ORDER BY decision), '') AS decisions FROM par GROUP BY ALL",
-    "reply_semantic": f"""WITH {PARSED} SELECT paper_id, task, decision, cited, CASE WHEN decision = 'wrong_text' THEN 'E7_wrong_text_uncited' WHEN cited = '' THEN 'E1_no_rule' WHEN doc_id % 6 = 5 THEN 'E10_rule_of_other_task' WHEN doc_id % 4 = 3 THEN 'E6_unknown_rule' END AS semantic_failure FROM par WHERE failure IS NULL""",
-    "reply_combined": """SELECT CAST(doc_id AS VARCHAR) AS paper_id, task, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN d END AS decision, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN c END AS confidence
-        FROM documents, (VALUES ('power_analysis', 'yes', 0.25::DOUBLE), ('data_analysis', 'no', 1.0::DOUBLE)) t(task, d, c)""",
-    "reply_text": "SELECT CAST(conv_id AS VARCHAR) AS stream_id, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), 'done')) AS text_md5 FROM conversations GROUP BY conv_id",
-    "reply_provenance": f"WITH {STREAMS} SELECT stream_id, 'm-1' AS model, 's' || stream_id AS session_id, (chars * 2)::BIGINT AS duration_ms, conv_id % 5 = 0 AS is_error, NULL::DOUBLE AS cost, said + 2 AS n_events FROM str",
-    "reply_tokens": f"""WITH {STREAMS}, f AS (SELECT conv_id, min_by(length(text), turn) AS first_used FROM conversations WHERE role = 'assistant' AND turn % 2 = 1 GROUP BY conv_id)
-        SELECT stream_id, (CASE WHEN str.conv_id % 4 <> 0 THEN chars ELSE first_used END)::BIGINT AS billed_input, CASE WHEN str.conv_id % 4 <> 0 THEN 7 END::BIGINT AS output_tokens FROM str LEFT JOIN f ON str.conv_id = f.conv_id""",
+    "reply_semantic": f"""WITH {PARSED} SELECT paper_id, task, decision, cited, CASE WHEN doc_id % 9 = 0 THEN 'E10' WHEN decision = 'wrong_text' THEN CASE WHEN doc_id % 4 <> 3 THEN 'E6' END WHEN cited = '' THEN 'E6' WHEN doc_id % 6 = 5 THEN 'E4' WHEN doc_id % 4 = 3 THEN 'E3/E5' END AS semantic_failure FROM par WHERE failure IS NULL""",
+    "reply_text": "SELECT CAST(conv_id AS VARCHAR) AS stream_id, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), CASE WHEN conv_id % 13 <> 0 THEN 'done' END)) AS text_md5 FROM conversations GROUP BY conv_id",
+    "reply_provenance": f"""WITH {STREAMS}, {USED}
+        SELECT stream_id, CASE WHEN ended THEN 's' || stream_id END AS session_id, CASE WHEN ended THEN chars * 2 END::BIGINT AS duration_ms, NULL::BIGINT AS duration_api_ms, NULL::BIGINT AS ttft_ms, CASE WHEN ended THEN top END::BIGINT AS num_turns, CASE WHEN ended THEN CASE WHEN conv_id % 31 = 0 THEN 'max_tokens' ELSE 'end_turn' END END AS stop_reason,
+            NULL::VARCHAR AS terminal_reason, CASE WHEN ended THEN chars / 64.0::DOUBLE END AS total_cost_usd, CASE WHEN own THEN 'standard' END AS service_tier, NULL::VARCHAR AS inference_geo, NULL::BIGINT AS context_window, NULL::BIGINT AS max_output_tokens, NULL::VARCHAR AS fast_mode_state,
+            input_tokens, CASE WHEN own THEN 7 END::BIGINT AS output_tokens, cached AS cache_read_input_tokens, NULL::BIGINT AS cache_creation_input_tokens, CASE WHEN own THEN CASE WHEN conv_id % 37 = 0 THEN 'fast' ELSE 'standard' END END AS speed,
+            CASE WHEN conv_id % 17 <> 0 THEN '2.' || conv_id % 2 END AS cli_version, CASE WHEN conv_id % 19 <> 0 THEN CASE WHEN conv_id % 23 = 0 THEN 'm-2' ELSE 'm-1' END END AS reported_model, input_tokens + coalesce(cached, 0) AS billed_input_tokens,
+            CASE WHEN conv_id % 11 <> 0 THEN 'req-' || conv_id || '-' || first_said END AS request_id, CASE WHEN ended THEN CASE WHEN conv_id % 29 = 0 THEN 1 ELSE 0 END END::INTEGER AS permission_denials FROM used""",
+    "reply_tokens": f"WITH {STREAMS}, {USED} SELECT stream_id, (input_tokens + coalesce(cached, 0))::BIGINT AS billed_input, CASE WHEN own THEN 7 END::BIGINT AS output_tokens FROM used",
     "reply_tools": f"WITH {STREAMS} SELECT stream_id, CASE conv_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END::INTEGER AS n_tools FROM str",
     "reply_tool_use": "SELECT conv_id, turn, conv_id % 3 = 0 AS uses_tool FROM conversations",
     "constant_confidence": f"WITH {JUDGMENTS} SELECT task, promptbook_version, count(confidence) AS n, count(DISTINCT confidence) AS distinct_n, count(confidence) >= 10 AND count(DISTINCT confidence) = 1 AS constant FROM jud GROUP BY ALL",
@@ -222,13 +237,13 @@ ORACLE |= {
 
 ORACLE |= {
     "manifest_extractable": f"WITH {PAPERS} SELECT paper_id, verdict, status FROM pap WHERE verdict IN ('VERIFIED', 'WEAK')",
-    "manifest_extraction_flags": """SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 31 = 0 THEN 'FAILED' WHEN regexp_matches(left(text, 60), '(?i)^\\\\s*(correction|corrigendum|erratum|retraction|expression of concern)\\\\b') THEN 'CORRECTION'
-        WHEN doc_id % 19 = 0 OR n_chars < 3000 THEN 'THIN' ELSE 'OK' END AS flag, CASE WHEN doc_id % 40 > 0 THEN n_chars / (doc_id % 40)::DOUBLE < 200 ELSE true END AS sparse FROM documents""",
+    "manifest_extraction_flags": """SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 31 = 0 THEN 'FAILED' WHEN regexp_matches(left(text, 60), 'NOTICE_PATTERN') THEN 'CORRECTION'
+        WHEN doc_id % 19 = 0 OR n_chars < 3000 THEN 'THIN' ELSE 'OK' END AS flag, CASE WHEN doc_id % 40 > 0 THEN n_chars / (doc_id % 40)::DOUBLE < 200 ELSE true END AS sparse FROM documents""".replace("NOTICE_PATTERN", NOTICE),
     "manifest_outstanding": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, md5(text) AS md5 FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
     "manifest_coverage": "SELECT count(*) AS n, count(*) FILTER (doc_id % 4 <> 0) / count(*)::DOUBLE AS doi_share, 1.0::DOUBLE AS pmid_share, 1.0::DOUBLE AS md5_share FROM documents",
     "manifest_histogram": f"WITH {SOURCES}, v AS (SELECT 'exclusion_reason' AS field, exclusion_reason AS value FROM src UNION ALL SELECT 'power', power FROM src UNION ALL SELECT 'stats', stats FROM src UNION ALL SELECT 'source', source FROM src) SELECT field, CASE value WHEN '' THEN '(blank)' ELSE value END AS value, count(*) AS n FROM v GROUP BY ALL",
     "label_counts": f"WITH {LABELS} SELECT count(*) AS n, count(exclusion_reason) AS excluded, count(power) AS with_power, count(stats) AS with_stats, count(*) FILTER (split = 'build') AS build, count(*) FILTER (split = 'holdout') AS holdout FROM labs",
-    "label_descriptions": f"WITH {LABELS} SELECT paper_id, CASE WHEN exclusion_reason IS NOT NULL THEN 'excluded (' || exclusion_reason || ')' ELSE 'kept, power=' || coalesce(power, '?') || ' data=' || coalesce(stats, '?') END AS description FROM labs",
+    "label_descriptions": f"WITH {LABELS} SELECT paper_id, CASE WHEN exclusion_reason IS NOT NULL THEN 'excluded (' || exclusion_reason || ')' ELSE 'kept, power=' || coalesce(power, '?') || ' data=' || coalesce(stats, '?') || CASE WHEN doc_id % 4 = 0 THEN ' category=B' ELSE '' END END AS description FROM labs",
     "token_display": "SELECT doc_id, CASE WHEN n_chars * 97 >= 1000000 THEN printf('%.1fM', n_chars * 97 / 1e6) WHEN n_chars * 97 >= 1000 THEN (n_chars * 97 // 1000) || 'k' ELSE CAST(n_chars * 97 AS VARCHAR) END AS shown FROM documents",
     "run_fingerprints": """SELECT task, v AS promptbook_version, sha256('{"effort":"' || CASE v WHEN 'v1' THEN 'medium' ELSE 'high' END || '","promptbook_version":"' || v || '","task":"' || task || '"}') AS fingerprint, 'run-' || task || '-r1-' || left(sha256(v), 20) AS id
         FROM (VALUES ('exclusion'), ('power_analysis'), ('data_analysis')) t(task), (VALUES ('v1'), ('v2')) x(v)""",
@@ -237,10 +252,12 @@ ORACLE |= {
         FROM (VALUES ('exclusion'), ('power_analysis'), ('data_analysis')) t(task), (VALUES ('v1'), ('v2')) x(v)""",
     "round_preparation": "WITH m AS (SELECT source, CASE WHEN doc_id % 40 = 0 THEN 'unprepared' ELSE 'strip-1' END AS m FROM documents) SELECT source, count(DISTINCT m) AS methods, string_agg(DISTINCT m, ';' ORDER BY m) AS names, count(DISTINCT m) > 1 AS refused FROM m GROUP BY source",
     "reply_leaked_ids": "SELECT 'id' || doc_id AS paper_id, 1::BIGINT AS n_leaked, 'id' || (doc_id + 1) AS first_leaked FROM documents WHERE doc_id % 3 = 0 AND doc_id + 1 IN (SELECT doc_id FROM documents)",
-    "round_severity": f"""WITH {ATTEMPTS}, k AS (SELECT left(started_at, 7) AS round, CASE WHEN attempt >= 5 THEN 'FATAL' ELSE failure_kind END AS kind FROM att)
-        SELECT round, count(*) AS n, count(*) FILTER (kind = 'process') AS n_process, count(*) FILTER (kind = 'parse') AS n_parse, count(*) FILTER (kind = 'semantic') AS n_semantic, count(*) FILTER (kind = 'FATAL') AS n_fatal, count(*) FILTER (kind = 'FATAL') > 0 AS discarded FROM k GROUP BY round""",
-    "citation_parse": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS number, 'Smith, J., & Roe, R.' AS names, CAST(1900 + doc_id % 120 AS VARCHAR) AS year, CASE doc_id % 5 WHEN 0 THEN 'b' ELSE '' END AS suffix FROM documents",
-    "citation_keys": "SELECT doc_id, 'smith' AS surname, CASE doc_id % 2 WHEN 0 THEN 'effect of light' ELSE 'study' END AS words, CAST(1900 + doc_id % 120 AS VARCHAR) AS year FROM documents",
-    "latex_cells": "SELECT doc_id, 'Café — ' || doc_id || '% x ü & more' AS text FROM documents",
+    "citation_parse": """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS number, CASE WHEN doc_id % 7 <> 0 THEN CAST(1900 + doc_id % 120 AS VARCHAR) ELSE '' END AS year, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 = 0 THEN 'b' ELSE '' END AS suffix, CASE WHEN doc_id % 7 <> 0 THEN 'Hershman|Bansal|Roe-Smith' ELSE '' END AS names FROM documents""",
+    "citation_keys": """SELECT doc_id, (['smith', 'abrahamsgessel', ''])[doc_id % 3 + 1] AS surname, CASE doc_id % 2 WHEN 0 THEN 'effect of dna light' ELSE 'study' END || CASE WHEN doc_id % 35 = 0 THEN 'a' ELSE '' END AS words, CASE WHEN doc_id % 5 <> 0 THEN CAST(1900 + doc_id % 120 AS VARCHAR) ELSE '' END AS year FROM documents""",
+    "latex_cells": "SELECT doc_id, 'Hernández et al. & Café — ' || doc_id || '% of ~5 ü & môre' AS text FROM documents",
     "reading_conditions": f"WITH {JUDGMENTS} SELECT task, CASE promptbook_version WHEN 'v1' THEN 'whole' ELSE 'stripped' END AS condition, count(*) AS n FROM jud GROUP BY ALL",
 }
+
+from .review_oracle import MORE  # noqa: E402
+
+ORACLE |= MORE

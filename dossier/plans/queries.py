@@ -11,6 +11,9 @@ from dossier.operators import evaluate as ev
 from dossier.operators import judgments as jd
 from dossier.operators import splits as sp
 
+from dossier.functions.columns import ladder
+from dossier.functions.median import median_by
+
 from .fixtures import ROUND_SEED, SPLIT_SEED, TASKS, Corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,12 +192,6 @@ def rounds_interleave(c: Corpus) -> DataFrame:
     return sp.interleave(c.labels().where("split = 'build'"), ROUND_SEED)
 
 
-@query
-def rounds_violations(c: Corpus) -> DataFrame:
-    """Rounds cut from all labels, so held-out papers are found in them."""
-    return sp.round_violations(sp.interleave(c.labels(), ROUND_SEED), c.labels())
-
-
 @query
 def rounds_membership_equal(c: Corpus) -> DataFrame:
     rounds = sp.interleave(c.labels().where("split = 'build' and stratum = 'survivor'"), ROUND_SEED)
@@ -238,7 +235,7 @@ def labels_gate(c: Corpus) -> DataFrame:
 
 def _raw_answers(c: Corpus) -> DataFrame:
     d = F.col("doc_id")
-    texts = F.array(*(F.lit(x) for x in ("Yes", " no (see text)", "N", "y, partly", "", "maybe", "Low_Quality", " Not  a TRIAL ", "None", "unclear", "strange reason", "17", " 8 ", "8.5")))
+    texts = F.array(*(F.lit(x) for x in ("Yes", " no (see text)", "N", "y, partly", "", "maybe", "Pilot Study", " Secondary  DATA analysis ", "None", "unclear", "strange reason", "17", " 8 ", "8.5")))
     return c.table("documents").select(d.cast("string").alias("paper_id"), F.element_at(texts, (d % 14 + 1).cast("int")).alias("raw"))
 
 
@@ -289,8 +286,9 @@ def _authors(c: Corpus) -> DataFrame:
 
 @query
 def labels_author_year_join(c: Corpus) -> DataFrame:
+    """Every ninth citation has a suffix, which only a sole candidate may have."""
     p = _authors(c)
-    rows = p.select(F.concat(F.lit("r"), "paper_id").alias("row_id"), "surname", "year", F.array().cast("array<string>").alias("extras"))
+    rows = p.select(F.concat(F.lit("r"), "paper_id").alias("row_id"), "surname", "year", F.when(F.col("doc_id") % 9 == 0, "a").otherwise("").alias("suffix"), F.array().cast("array<string>").alias("extras"))
     return lb.join_author_year(rows, p.select("paper_id", "surname", "year", "authors")).select("row_id", "paper_id", "rule")
 
 
@@ -303,11 +301,12 @@ def labels_positional_join(c: Corpus) -> DataFrame:
 
 @query
 def labels_fuzzy_join(c: Corpus) -> DataFrame:
-    from dossier.functions.similarity import similarity
-
-    p = c.papers().select("paper_id", "lang", "source", F.col("title").alias("paper_title"))
-    rows = c.papers().where("doc_id % 50 = 0").select(F.concat(F.lit("r"), "paper_id").alias("row_id"), "lang", "source", F.upper("title").alias("row_title"))
-    return lb.join_fuzzy(rows, p, similarity(F.col("row_title"), F.col("paper_title")), "lang", "source")
+    """Citation keys of every 50th paper: unique by surname and year, tied, or without an author's name (every 1000th)."""
+    d = F.col("doc_id")
+    papers = c.papers().select("paper_id", F.concat(F.lit("name"), (d % 499).cast("string")).alias("surname"), (F.lit(1990) + d % 7).cast("string").alias("year"), "title")
+    words = F.lower(F.regexp_replace(F.substring("title", 1, 40), r"[^A-Za-z]+", " "))
+    rows = c.papers().where(d % 50 == 0).select(F.concat(F.lit("r"), "paper_id").alias("row_id"), F.when(d % 1000 == 0, "institute").otherwise(F.concat(F.lit("name"), (d % 499).cast("string"))).alias("surname"), F.when(d % 100 == 0, "").otherwise((F.lit(1990) + d % 7).cast("string")).alias("year"), words.alias("words"))
+    return lb.join_cite_key(rows, papers).withColumn("score", F.round("score", 6))
 
 
 # --- corpus -----------------------------------------------------------------------------------------------------
@@ -316,12 +315,11 @@ from dossier.operators import corpus as cp  # noqa: E402
 
 
 def _ledger(c: Corpus) -> DataFrame:
-    """Nine branches by disjoint or overlapping rules over the manifest."""
-    p = c.papers()
-    gone = p.where("verdict = 'DROPPED'")
+    """Nine rules over the manifest, in one scan of it."""
+    d, gone = F.col("doc_id"), F.col("verdict") == "DROPPED"
     names = [("cross_set_duplicate", "rule"), ("internal_duplicate", "rule"), ("identity", "human"), ("unreviewed", "rule"), ("cross_paper_reason", "rule"), ("disagreement", "human"), ("expert_review", "human"), ("text_integrity", "model")]
-    branches = [(n, by, gone.where(F.col("doc_id") % 8 == i).withColumn("reason", F.concat(F.lit("rule "), (F.col("doc_id") % 3).cast("string")))) for i, (n, by) in enumerate(names)]
-    return cp.ledger(*branches, ("pdf_missing", "rule", p.where("status = 'PDF_MISSING'").withColumn("reason", F.col("status"))))
+    reason = F.concat(F.lit("rule "), (d % 3).cast("string"))
+    return cp.ledger_by_rules(c.papers(), *((n, by, gone & (d % 8 == i), reason) for i, (n, by) in enumerate(names)), ("pdf_missing", "rule", F.col("status") == "PDF_MISSING", F.col("status")))
 
 
 @query
@@ -389,26 +387,6 @@ def corpus_drop_plan(c: Corpus) -> DataFrame:
     return cp.drop_plan(p, reasons.unionByName(twice))
 
 
-@query
-def checks_labels_closure(c: Corpus) -> DataFrame:
-    lab, p = c.labels(), c.papers().select("paper_id", "verdict", F.lit(True).alias("there"))
-    j = lab.join(p, "paper_id", "left")
-    return cp.checks(
-        ("C1_label_without_paper", j, F.col("there").isNull()), ("C2_label_of_dropped_paper", j, F.col("verdict") == "DROPPED"), ("C3_excluded_with_answer", lab, F.col("exclusion_reason").isNotNull() & F.col("power").isNotNull()),
-        ("C4_survivor_without_answer", lab, F.col("exclusion_reason").isNull() & (F.col("power").isNull() | F.col("stats").isNull())), ("C5_no_split", lab, F.col("split").isNull()), ("C6_answer_outside_vocabulary", lab, ~F.col("power").isin("yes", "no")),
-    )
-
-
-@query
-def checks_corpus_closure(c: Corpus) -> DataFrame:
-    p, shared = c.papers(), cp.collisions(c.papers(), "doi")
-    unjudged = p.where("verdict <> 'DROPPED'").join(c.judgments().select("paper_id").distinct().withColumn("judged", F.lit(True)), "paper_id", "left")
-    return cp.checks(
-        ("U1_no_identifier", p, F.coalesce(F.col("doi"), F.lit("")) == ""), ("U2_shared_doi", shared, F.lit(True)), ("U3_active_without_file", p, (F.col("verdict") != "DROPPED") & (F.col("status") != "OK")),
-        ("U4_unknown_verdict", p, ~F.col("verdict").isin("VERIFIED", "WEAK", "DROPPED")), ("U5_active_without_judgment", unjudged, F.col("judged").isNull()),
-    )
-
-
 @query
 def source_summary_rollup(c: Corpus) -> DataFrame:
     lab = c.labels().select("paper_id", F.lit(True).alias("labelled"), F.col("exclusion_reason").isNotNull().alias("excluded"))
@@ -443,52 +421,51 @@ def text_other_dois(c: Corpus) -> DataFrame:
 
 @query
 def text_correction_title(c: Corpus) -> DataFrame:
-    title = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Correction: ", "ERRATUM to ", "The correction of ", ""))), (F.col("doc_id") % 4 + 1).cast("int")), "title")
+    title = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Correction: ", "ERRATUM to ", "The correction of ", "[Retracted] ", "Publisher Corrigendum to a: ", "(withdrawn)", ""))), (F.col("doc_id") % 7 + 1).cast("int")), "title")
     return c.papers().select("paper_id", tx.is_correction(title).alias("is_correction"))
 
 
 @query
 def text_admin_head(c: Corpus) -> DataFrame:
-    text = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Grant\n Application\n"), "text")).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.element_at(F.array(F.lit("Summary\n Statement\n"), F.lit("Principal Investigator: "), F.lit("PRIVILEGED  Communication ")), (F.col("doc_id") % 3 + 1).cast("int")), "text")).otherwise(F.col("text"))
     return c.table("documents").select("doc_id", tx.is_administrative(text).alias("is_administrative"))
 
 
-@query
-def text_reference_strip(c: Corpus) -> DataFrame:
-    tail = F.concat(F.lit("\nReferences\n"), F.repeat(F.lit("1. Someone 2001.\n"), (F.col("doc_id") % 40).cast("int")), F.when(F.col("doc_id") % 3 == 0, "Appendix A\nmore").otherwise(""))
+def _with_references(c: Corpus) -> DataFrame:
+    tail = F.concat(F.lit("\n 5. References:\n"), F.repeat(F.lit("1. Someone 2001.\n"), (F.col("doc_id") % 40).cast("int")), F.when(F.col("doc_id") % 3 == 0, "Appendix A\nmore").otherwise(""))
     text = F.when(F.col("doc_id") % 5 != 0, F.concat("text", tail)).otherwise(F.col("text"))
-    out = c.table("documents").select("doc_id", tx.strip_references(text).alias("s"))
-    return out.select("doc_id", "s.reason", F.md5("s.kept").alias("kept_md5"), F.col("s.cut_chars").cast("long").alias("cut_chars"))
+    return c.table("documents").select("doc_id", text.alias("text"))
 
 
 @query
-def text_integrity_flags(c: Corpus) -> DataFrame:
-    pages = F.ceil(F.length("text") / 3000).cast("double")
-    docs = c.table("documents").select("doc_id", "text", pages.alias("pages"))
-    middle = docs.where("pages > 0").agg(F.median(F.length("text") / F.col("pages")).alias("median"))
-    return docs.crossJoin(F.broadcast(middle)).select("doc_id", F.array_join(tx.integrity_flags(F.col("text"), F.col("pages"), F.col("median")), ";").alias("flags"))
+def text_reference_strip(c: Corpus) -> DataFrame:
+    out = _with_references(c).select("doc_id", tx.strip_references(F.col("text")).alias("s"))
+    return out.select("doc_id", "s.stripped", "s.reason", "s.heading", "s.heading_line", F.md5("s.text").alias("text_md5"), *(F.col(f"s.{x}").cast("long").alias(x) for x in ("source_chars", "result_chars", "removed_chars", "tail_chars")))
 
 
 @query
-def text_integrity_scan(c: Corpus) -> DataFrame:
+def text_integrity_flags(c: Corpus) -> DataFrame:
     k = F.col("doc_id") % 8
     planted = F.when(k == 1, F.concat("text", F.lit("\nReferences\n1. One 2001.\n Abstract\nmore"))).when(k == 2, F.concat(F.lit("Submission Form\n"), "text")).when(k == 3, F.concat("text", F.lit("\ufffd doi: 10.1"))).when(k == 4, F.concat("text", F.lit(" doing"))).otherwise(F.col("text"))
     abstract = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.substring("text", 1, 100))
     docs = c.table("documents").select("doc_id", planted.alias("text"), abstract.alias("abstract")).withColumn("pages", F.ceil(F.length("text") / 3000).cast("double"))
-    middle = docs.where("pages > 0").agg(F.median(F.length("text") / F.col("pages")).alias("median"))
+    middle = median_by(docs.where("pages > 0").select((F.length("text") / F.col("pages")).alias("v")), "v").select("median")  # one row
     return docs.crossJoin(F.broadcast(middle)).select("doc_id", F.array_join(tx.integrity_scan(F.col("text"), F.col("pages"), F.col("abstract"), F.col("median")), ";").alias("flags"))
 
 
 @query
 def text_chars_per_page_median(c: Corpus) -> DataFrame:
-    return c.table("documents").where("length(text) > 0").agg(F.count("*").alias("n"), F.median(F.length("text") / F.ceil(F.length("text") / 3000)).alias("median"))
+    return median_by(c.table("documents").where("length(text) > 0").select((F.length("text") / F.ceil(F.length("text") / 3000)).alias("v")), "v").select("n", "median")
 
 
 @query
 def text_clean(c: Corpus) -> DataFrame:
-    text = F.concat(F.when(F.col("doc_id") % 3 == 0, "﻿").otherwise(""), F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("text", "\n", "\r\n")).otherwise(F.col("text")))
+    d = F.col("doc_id")
+    text = F.concat(F.when(d % 3 == 0, "\ufeff").otherwise(""), F.when(d % 4 == 0, F.regexp_replace("text", "\n", "\r\n")).when(d % 41 == 1, " \n ").otherwise(F.col("text")))
+    s = F.col("s")
     out = c.table("documents").select("doc_id", tx.clean_text(text).alias("s"))
-    return out.select("doc_id", F.md5("s.text").alias("text_md5"), "s.notes")
+    notes = tx.text_notes(s, F.when(d % 5 == 0, d).otherwise(0), F.when(d % 7 == 0, "no_heading").otherwise(""), F.when(d % 11 == 0, "").otherwise("reference_heading_v1"))
+    return out.select("doc_id", F.md5("s.text").alias("text_md5"), "s.refused", notes.alias("notes"))
 
 
 @query
@@ -499,7 +476,7 @@ def text_rule_citations(c: Corpus) -> DataFrame:
 
 @query
 def text_other_paper_flags(c: Corpus) -> DataFrame:
-    text = F.concat(F.lit("As Smith et al. (2001), Jones 1999 and Smith et al. (2001) say, not by "), "text", F.lit(" "), (F.lit(1900) + F.col("doc_id") % 120).cast("string"))
+    text = F.concat(F.lit("As Smith et al. (2001), Jones 1999 and Smith et al. (2001) say, Lee & Roe, 2020 and The 2019 cohort, not by "), "text", F.lit(" ("), (F.lit(1900) + F.col("doc_id") % 120).cast("string"), F.lit(")"))
     return c.table("documents").select("doc_id", F.array_join(tx.other_papers(text), "|").alias("others"))
 
 
@@ -524,14 +501,6 @@ def reply_semantic(c: Corpus) -> DataFrame:
     return rp.semantic(rp.parse(c.replies()), rules)
 
 
-@query
-def reply_combined(c: Corpus) -> DataFrame:
-    half = F.when(F.col("doc_id") % 5 != 0, F.struct(F.lit("Yes").alias("decision"), F.lit(0.25).alias("confidence")))
-    other = F.struct(F.when(F.col("doc_id") % 7 != 0, "no").otherwise("maybe").alias("decision"), F.lit(1.0).alias("confidence"))
-    raw = c.table("documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.to_json(F.struct(half.alias("power_analysis"), other.alias("data_analysis"))).alias("raw"))
-    return rp.combined(raw)
-
-
 @query
 def reply_text(c: Corpus) -> DataFrame:
     return rp.assistant_text(rp.events(c.reply_lines())).select("stream_id", F.md5("text").alias("text_md5"))
@@ -607,15 +576,20 @@ def stats_cmh(c: Corpus) -> DataFrame:
     return t.select("strata", F.round("statistic", 8).alias("statistic"), F.round("odds_ratio", 8).alias("odds_ratio"))
 
 
+def _heads(c: Corpus) -> DataFrame:
+    """Heads of 900 characters (a head is a file's first pages) with what the library says of them."""
+    d = F.col("doc_id")
+    head = F.substring("text", 1, 900)
+    shown = ladder([(d % 4 == 0, F.concat(F.lit("doi 10.1000/"), F.md5("text"), F.lit(" "), head)), (d % 9 == 1, F.concat(F.lit("Summary Statement "), head))], head)
+    names = F.array(F.coalesce(F.lower(F.get(F.split("text", " "), 2)), F.lit("")), F.lit("nobody"))
+    return c.table("documents").select(d.cast("string").alias("paper_id"), shown.alias("head"), F.concat(F.lit("10.1000/"), F.md5("text")).alias("doi"), F.substring("text", 1, 60).alias("title"), names.alias("surnames"), F.lit("2001").alias("year"), F.substring("text", 100, 20).alias("journal"))
+
+
 @query
 def identity_ladder(c: Corpus) -> DataFrame:
-    from dossier.operators.identity import decide
+    from dossier.operators.identity import decide, report
 
-    d = F.col("doc_id")
-    shown = F.when(d % 4 == 0, F.concat(F.lit("doi 10.1000/"), F.md5("text"), F.lit(" "), F.substring("text", 1, 900))).otherwise(F.substring("text", 1, 900))
-    names = F.array(F.coalesce(F.lower(F.get(F.split("text", " "), 2)), F.lit("")), F.lit("nobody"))
-    rows = c.table("documents").select(d.cast("string").alias("paper_id"), shown.alias("head"), F.concat(F.lit("10.1000/"), F.md5("text")).alias("doi"), F.substring("text", 1, 60).alias("title"), names.alias("surnames"))
-    return decide(rows)
+    return report(decide(_heads(c)))
 
 
 # --- manifest and records ---------------------------------------------------------------------------------------
@@ -661,7 +635,8 @@ def label_counts(c: Corpus) -> DataFrame:
 
 @query
 def label_descriptions(c: Corpus) -> DataFrame:
-    return c.labels().select("paper_id", mf.describe(F.col("exclusion_reason"), F.col("power"), F.col("stats")).alias("description"))
+    category = F.when(F.col("doc_id") % 4 == 0, "B")
+    return c.labels().select("paper_id", mf.describe(F.col("exclusion_reason"), F.col("power"), F.col("stats"), category).alias("description"))
 
 
 @query
@@ -701,30 +676,30 @@ def reply_leaked_ids(c: Corpus) -> DataFrame:
     return mf.leaked_ids(replies, replies)
 
 
-@query
-def round_severity(c: Corpus) -> DataFrame:
-    return mf.severity(c.attempts())
-
-
 @query
 def citation_parse(c: Corpus) -> DataFrame:
     d = F.col("doc_id")
-    text = F.concat(F.when(d % 2 == 0, F.concat(d.cast("string"), F.lit(". "))).otherwise(""), F.lit("Smith, J., & Roe, R. ("), (F.lit(1900) + d % 120).cast("string"), F.when(d % 5 == 0, "b").otherwise(""), F.lit("). Title."))
-    return c.table("documents").select("doc_id", ct.citation(text).alias("s")).select("doc_id", "s.*")
+    text = F.concat(F.when(d % 2 == 0, F.concat(d.cast("string"), F.lit(". "))).otherwise(" "), F.when(d % 7 != 0, "(").otherwise(""), F.lit("Hershman, Bansal, & Roe-Smith, et al., "), (F.lit(1900) + d % 120).cast("string"), F.when(d % 5 == 0, "b").otherwise(""), F.lit(") "))
+    x = c.table("documents").select("doc_id", ct.citation(text).alias("s")).select("doc_id", "s.*")
+    return x.select("doc_id", "number", "year", "suffix", F.array_join(ct.cited_names(F.col("names")), "|").alias("names"))
 
 
 @query
 def citation_keys(c: Corpus) -> DataFrame:
-    key = F.concat(F.lit("smith"), F.when(F.col("doc_id") % 2 == 0, "EffectOfLight").otherwise("Study"), (F.lit(1900) + F.col("doc_id") % 120).cast("string"))
+    d = F.col("doc_id")
+    key = F.concat(F.element_at(F.array(F.lit("smith"), F.lit("abrahams-gessel"), F.lit("")), (d % 3 + 1).cast("int")), F.when(d % 2 == 0, "EffectOfDNALight").otherwise("Study"), F.when(d % 5 != 0, (F.lit(1900) + d % 120).cast("string")).otherwise(""), F.when(d % 7 == 0, "a").otherwise(""))
     return c.table("documents").select("doc_id", ct.cite_key(key).alias("s")).select("doc_id", "s.*")
 
 
 @query
 def latex_cells(c: Corpus) -> DataFrame:
-    cell = F.concat(F.lit(r"\textbf{Caf\'{e}}~--- "), F.col("doc_id").cast("string"), F.lit(r"\% $x$  \"u \& more"))
+    cell = F.concat(F.lit(r"Hern\'andez {et} al.\textsuperscript{\cite{hern2001}} & \textbf{Caf\'{e}} --- "), F.col("doc_id").cast("string"), F.lit(r"\% \emph{of} $\sim$5 \"u \& m\^ore \cite{x} \\\\ "))
     return c.table("documents").select("doc_id", ct.strip_latex(cell).alias("text"))
 
 
 @query
 def reading_conditions(c: Corpus) -> DataFrame:
     return c.judgments().groupBy("task", ct.reading_condition(F.col("promptbook_version")).alias("condition")).agg(F.count("*").alias("n"))
+
+
+from . import review  # noqa: E402, F401  registers its queries

@@ -1,4 +1,4 @@
-"""All eight flags against the reference's rules written in Python, on planted defects and on the registered query."""
+"""All eight flags against their rules written in Python, on planted defects and on the registered query."""
 
 import math
 import re
@@ -19,11 +19,11 @@ def brute(text, pages, abstract, middle):
     refs = re.search(r"^\s*(references|bibliography|literature cited)\b", t, re.I | re.M)
     lines = [x.strip() for x in t.splitlines() if len(x.strip()) > 15]
     checks = [
-        ("mojibake", re.search("�|Ã[\u0080-¿]|â€", t)), ("second_article", refs and re.compile(r"^\s*abstract\b", re.I | re.M).search(t, refs.end())),
-        ("no_references", t and not re.search(r"\breferences\b|\bbibliography\b|doi:\s*10\.", t, re.I)), ("thin", pages and middle and len(t) / pages < 0.4 * middle),
-        ("short_for_abstract", abstract and len(t) < 3 * len(abstract)), ("few_letters", solid and sum(c.isalpha() for c in solid) / len(solid) < 0.6),
-        ("repeated_lines", len(lines) > 50 and (len(lines) - len(set(lines))) / len(lines) > 0.3),
-        ("form", re.search(r"CONSORT-EHEALTH|Submission\s*/?\s*Publication Form|\bSubmission Form\b|\bPublication Form\b", t[:600], re.I)),
+        ("F1_MOJIBAKE", re.search("�|Ã¢â‚¬|Ã©|Ã¨|â€œ|â€\x9d|Ã\xad", t)), ("F2_MULTI_ARTICLE", refs and re.compile(r"^\s*abstract\b", re.I | re.M).search(t, refs.end())),
+        ("F3_NO_REFERENCES", t and not re.search(r"\breferences\b|\bbibliography\b|doi:\s*10\.", t, re.I)), ("F4_THIN_PER_PAGE", pages and middle and len(t) / pages < 0.4 * middle),
+        ("F5_SHORT_VS_ABSTRACT", abstract and len(t) < 3 * len(abstract)), ("F6_LOW_ALPHA", solid and sum(c.isalpha() for c in solid) / len(solid) < 0.6),
+        ("F7_REPETITIVE", len(lines) > 50 and (len(lines) - len(set(lines))) / len(lines) > 0.3),
+        ("F8_SUBMISSION_FORM", re.search(r"CONSORT-EHEALTH|Submission\s*/?\s*Publication Form|\bSubmission Form\b|\bPublication Form\b", t[:600], re.I)),
     ]
     return [name for name, found in checks if found]
 
@@ -50,5 +50,5 @@ def test_query(spark):
         x = {1: t + "\nReferences\n1. One 2001.\n Abstract\nmore", 2: "Submission Form\n" + t, 3: t + "� doi: 10.1", 4: t + " doing"}.get(d % 8, t)
         rows.append((d, x, math.ceil(len(x) / 3000), t if d % 5 == 0 else t[:100]))
     middle = median(len(x) / p for _, x, p, _ in rows if p)
-    got = {r.doc_id: r.flags for r in REGISTRY["text_integrity_scan"](spark, DIR).collect()}
+    got = {r.doc_id: r.flags for r in REGISTRY["text_integrity_flags"](spark, DIR).collect()}
     assert got == {d: ";".join(brute(x, p, a, middle)) for d, x, p, a in rows}

@@ -5,7 +5,7 @@ import pytest
 from dossier.plans.queries import REGISTRY
 
 DIR = "/root/testdata/sf0.001"
-PYTHON = {"labels_fuzzy_join", "identity_ladder", "reply_tool_use"}
+PYTHON = {"labels_fuzzy_join", "identity_ladder", "identity_signals", "identity_batch", "reply_tool_use"}
 
 
 def plan(spark, name):
@@ -22,4 +22,20 @@ def test_no_cartesian_product_and_no_python(spark, name):
 def test_scans_are_pruned(spark):
     assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan(spark, "eval_confusion")
     assert "text:string" not in plan(spark, "judgments_latest").split("== Physical Plan ==")[1]
-    assert "PushedFilters: [IsNotNull(doc_id)" in plan(spark, "label_counts") or "PushedFilters: []" in plan(spark, "label_counts")
+    assert "ReadSchema: struct<doc_id:bigint,quality:bigint,toxic:bigint>" in plan(spark, "label_counts") or "ReadSchema: struct<doc_id:bigint,quality:int,toxic:int>" in plan(spark, "label_counts")
+
+
+def scans(p):
+    """The scans of a physical plan."""
+    return [x for x in p.split("== Physical Plan ==")[1].split("\n") if "FileScan" in x]
+
+
+def test_filters_reach_the_scan(spark):
+    pushed = REGISTRY["round_run_log"](spark, DIR)._jdf.queryExecution().toString()
+    assert any("GreaterThan(n_chars,500)" in x for x in scans(pushed))
+    assert all("IsNotNull(doc_id)" in x for x in scans(plan(spark, "stats_two_by_two")))
+
+
+def test_one_scan_for_all_branches(spark):
+    documents = lambda name: sum("documents.parquet" in x for x in scans(plan(spark, name)))
+    assert documents("ledger_union") == 1 and documents("eval_confusion") == 1 and documents("manifest_histogram") <= 2

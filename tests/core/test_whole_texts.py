@@ -7,11 +7,11 @@ import pyarrow.parquet as pq
 from dossier.plans.queries import REGISTRY
 
 DIR = "/root/testdata/sf0.001"
-OTHER = r"[A-Z][a-z]+ (?:et al\.?,? )?\(?(?:19|20)[0-9]{2}\)?"
+OTHER = r"\b[A-Z][a-z]{2,}\s+(?:et\s+al\.?|and\s+[A-Z][a-z]{2,}|&\s+[A-Z][a-z]{2,})[\s,]*\(?(?:19|20)\d{2}\)?|\b[A-Z][a-z]{2,}\s+\((?:19|20)\d{2}\)"
 
 
 def brute(d, text):
-    t = f"As Smith et al. (2001), Jones 1999 and Smith et al. (2001) say, not by {text} {1900 + d % 120}"
+    t = f"As Smith et al. (2001), Jones 1999 and Smith et al. (2001) say, Lee & Roe, 2020 and The 2019 cohort, not by {text} ({1900 + d % 120})"
     others = "|".join(sorted({x.strip() for x in re.findall(OTHER, t)}))
     rules = re.findall(r"\b[EPD][0-9]{1,2}\b", f"By E{d % 30} and P2, E1, E1, XE5, E123; D7. {text}")
     return others, ",".join(rules), ",".join(dict.fromkeys(x for x in rules if x.startswith("E")))
