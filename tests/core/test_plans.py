@@ -5,7 +5,7 @@ import pytest
 from dossier.plans.queries import REGISTRY
 
 DIR = "/root/testdata/sf0.001"
-PYTHON = {"labels_fuzzy_join", "identity_ladder", "identity_signals", "identity_batch", "reply_tool_use"}
+PYTHON = {"labels_fuzzy_join", "identity_ladder", "identity_batch", "reply_tool_use"}
 
 
 def plan(spark, name):
