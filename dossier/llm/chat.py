@@ -71,10 +71,15 @@ def shape(v: Column) -> Column:
     """Nested field paths of a variant value, known fields only, in one string."""
     known = "|".join(NAMES)
     s = F.regexp_replace(F.regexp_replace(F.schema_of_variant(v), r": (?!OBJECT|ARRAY)[A-Z_]+(\([0-9, ]*\))?", ""), r"([:,]) ", "$1")
-    for _ in range(4):  # fields that no mapping knows: plain ones, and objects or lists from the inside out
-        s = F.regexp_replace(s, rf"(?<=[<,])(?!(?:{known})[,>:])[^<>,:]+(?::(?:ARRAY|OBJECT)<[^<>]*>)?(?=[,>])", "")
-        s = F.regexp_replace(F.regexp_replace(s, r",+(?=[,>])", ""), r"<,+", "<")
-    return s
+
+    def without_unknown(t: Column) -> Column:
+        """One level of fields that no mapping knows: plain ones, and objects or lists that hold no other."""
+        t = F.regexp_replace(t, rf"(?<=[<,])(?!(?:{known})[,>:])[^<>,:]+(?::(?:ARRAY|OBJECT)<[^<>]*>)?(?=[,>])", "")
+        t = F.regexp_replace(F.regexp_replace(t, r",+(?=[,>])", ""), r"<,+", "<")
+        return F.regexp_replace(t, r"(?<=<)(?:ARRAY|OBJECT)<[A-Z_]*(?:\([0-9, ]*\))?>(?=>)", "")  # what a list holds, if nothing known is in it
+
+    levels = F.length(s) - F.length(F.replace(s, F.lit("<"), F.lit("")))  # no field lies deeper than there are brackets
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), s, lambda t, _: without_unknown(t))
 
 
 def fingerprint(v: Column) -> Column:
@@ -108,18 +113,22 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, *order: str) -> DataFrame:
-    """One row per conversation: formatted, loss_turns (is the turn an assistant's) and loss_spans (where in formatted such texts are)."""
+    """One row per conversation: formatted, loss_turns (is the turn an assistant's), loss_spans (where in formatted such texts are) and unknown_records.
+
+    A record of a layout that no mapping knows adds no turn; unknown_records counts them.
+    """
     head = F.concat(F.lit("### "), F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\c")), F.lit(":\n"))
     by = [f"_by{i}" for i in range(len(order))]
-    plain = turns.select("conv_id", *(F.col(c).alias(b) for c, b in zip(order, by)), "nth", "role", "text")
+    unknown = F.col("layout").isNull() if "layout" in turns.columns else F.lit(False)
+    plain = turns.select("conv_id", *(F.col(c).alias(b) for c, b in zip(order, by)), "nth", "role", "text", unknown.alias("_unknown"))
     piece = plain.withColumn("head", head).withColumn("body", escape(F.col("text"))).withColumn("piece", F.concat("head", "body", F.lit("\n</turn>\n")))
     place = Window.partitionBy("conv_id").orderBy(*by, "nth", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     piece = piece.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(place), F.lit(0)) + F.length("head"))
     there = F.when(F.col("piece").isNotNull(), F.struct(F.col("start").alias("at"), "piece", (F.col("role") == "assistant").alias("loss"), F.length("body").alias("size")))
     parts = F.sort_array(F.collect_list(there))
-    joined = piece.groupBy("conv_id").agg(parts.alias("parts"))
+    joined = piece.groupBy("conv_id").agg(parts.alias("parts"), F.count_if("_unknown").alias("unknown_records"))
     spans = F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: F.struct(p["at"].alias("start"), p["size"].alias("length")))
-    return joined.select("conv_id", F.array_join("parts.piece", "").alias("formatted"), F.col("parts.loss").alias("loss_turns"), spans.alias("loss_spans"))
+    return joined.select("conv_id", F.array_join("parts.piece", "").alias("formatted"), F.col("parts.loss").alias("loss_turns"), spans.alias("loss_spans"), "unknown_records")
 
 
 def read_turns(formatted: Column) -> Column:

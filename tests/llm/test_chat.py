@@ -12,6 +12,7 @@ RECORDS = [
     ({"instruction": "i", "input": "x", "output": "o", "tags": ["t"]}, "instruction+input+output", [("user", "i\n\nx"), ("assistant", "o")]),
     ({"instruction": "i", "input": "", "output": "o"}, "instruction+input+output", [("user", "i"), ("assistant", "o")]),
     ({"role": "user", "text": None}, "turn", [("user", "")]),
+    ({"messages": [{"role": "user", "content": "a", "m": {"a": {"b": {"c": {"d": {"e": [{"f": {"g": 1}}]}}}}}}], "z": {"a": [[[{"b": {"c": {"d": {"e": {"f": 1}}}}}]]]}}, "messages.role", [("user", "a")]),
     ({"other": 1}, None, []), ("bad{", None, []), (None, None, []), ([1, 2], None, []),
 ]
 
@@ -23,6 +24,7 @@ def test_layouts(spark):
     assert {(r.conv_id, r.layout) for r in turns.collect()} == {(i, x[1]) for i, x in enumerate(RECORDS)}
     got = {r.conv_id: r for r in format_chats(turns).withColumn("turns", read_turns(F.col("formatted"))).collect()}
     assert {i: [tuple(t) for t in r.turns] for i, r in got.items()} == {i: x[2] for i, x in enumerate(RECORDS)}
+    assert {i: r.unknown_records for i, r in got.items()} == {i: int(x[1] is None) for i, x in enumerate(RECORDS)}
 
 
 def test_round_trip_and_mask(spark):
