@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .text import U64, Block, mix, slices, window_hash
 
+#: Embedded words at a time.
+PORTION = 1 << 21
 LEAKS = "doc_id long, item_id long, word_start long, word_end long, edits int, item_words int"
 
 
@@ -126,6 +128,10 @@ class _Items:
     def near(self, item: int, words: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Which of the windows at ``starts`` (inside documents lo..hi) share a table entry with the item."""
         m = int(self.size[item])
+        step = max(1, PORTION // (2 * m))
+        if len(starts) > step:  # an item of many words that hits a text often: by portions, so that memory stays bounded
+            parts = [slice(i, i + step) for i in range(0, len(starts), step)]
+            return np.concatenate([self.near(item, words, starts[p], lo[p], hi[p]) for p in parts])
         own, places = self.sample(item)
         at = np.clip(starts, lo, np.maximum(lo, hi - 1))
         size = np.minimum(m, hi - at)

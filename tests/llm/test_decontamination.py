@@ -1,4 +1,5 @@
 import random
+import re
 
 from dossier.llm.decontamination import _begin, decontaminate, edit_search, find_leaks
 
@@ -70,3 +71,32 @@ def test_leaks(spark):
     left = {r.doc_id for r in decontaminate(df, bench).collect()}
     assert left == {d for d, _ in docs + more} - {d for d, _ in got} - {None}
     assert find_leaks(df.limit(0), bench).count() == 0 and find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_recall_on_the_tables(spark, monkeypatch):
+    """Recall against every pair of document and item, whose edits are computed unless too few words are shared."""
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    from dossier.llm import decontamination
+
+    path = "/root/testdata/sf0.001"
+    low = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    items = {r["item_id"]: low(r["text"]) for r in pq.read_table(f"{path}/benchmark.parquet").to_pylist()}
+    counts, ids = {i: Counter(w) for i, w in items.items()}, {}
+    want = {}
+    for r in pq.read_table(f"{path}/documents.parquet").to_pylist():
+        text = low(r["text"])
+        have = Counter(text)
+        for i, w in items.items():
+            if w and sum(min(n, have[x]) for x, n in counts[i].items()) >= len(w) - len(w) // 5:
+                number = lambda x: ids.setdefault(x, len(ids))
+                edits, _ = edit_search([number(x) for x in w], [number(x) for x in text], len(w) // 5)
+                if edits <= len(w) // 5:
+                    want[r["doc_id"], i] = edits
+    for portion in (1 << 21, 64):
+        monkeypatch.setattr(decontamination, "PORTION", portion)
+        got = {(r.doc_id, r.item_id): r.edits for r in find_leaks(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")).collect()}
+        assert want and set(got) <= set(want) and all(got[k] == want[k] for k in got)
+        assert len(got) >= 0.95 * len(want)
