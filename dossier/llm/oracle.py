@@ -22,11 +22,11 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
     "op6_suffix_array_dedup": """
-        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        b AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS i, h FROM d),
-        w AS (SELECT doc_id, i, CASE WHEN 2 * i + 800 <= length(h) THEN md5(substr(h, 2 * i + 1, 800)) END AS s, CASE WHEN 2 * i + 400 <= length(h) THEN md5(substr(h, 2 * i + 1, 400)) END AS p, substr(h, 2 * i + 1, 2) AS byte FROM b),
-        t AS (SELECT doc_id, i, byte, CASE WHEN s IS NOT NULL AND count(*) OVER (PARTITION BY coalesce(s, doc_id || '/' || i)) > 1 THEN 1 ELSE 0 END AS twice,
-                     CASE WHEN p IS NOT NULL AND count(*) OVER (PARTITION BY coalesce(p, doc_id || '/' || i)) > 1 THEN 1 ELSE 0 END AS again FROM w),
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+        b AS (SELECT doc_id, unnest(range(0, octet_length(h))) AS i, h FROM d),
+        w AS (SELECT doc_id, i, CASE WHEN i + 400 <= octet_length(h) THEN md5(array_slice(h, i + 1, i + 400)) END AS s, CASE WHEN i + 200 <= octet_length(h) THEN md5(array_slice(h, i + 1, i + 200)) END AS p, hex(array_slice(h, i + 1, i + 1)) AS byte FROM b),
+        s2 AS (SELECT s FROM w WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1), p2 AS (SELECT p FROM w WHERE p IS NOT NULL GROUP BY p HAVING count(*) > 1),
+        t AS (SELECT doc_id, i, byte, CASE WHEN s2.s IS NULL THEN 0 ELSE 1 END AS twice, CASE WHEN p2.p IS NULL THEN 0 ELSE 1 END AS again FROM w LEFT JOIN s2 ON s2.s = w.s LEFT JOIN p2 ON p2.p = w.p),
         r AS (SELECT doc_id, i, byte, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS repeated FROM t),
         e AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS begins FROM r),
         k AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, sum(begins) AS n_spans, sum(repeated) AS n_repeated, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY doc_id)
