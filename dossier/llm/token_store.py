@@ -110,7 +110,7 @@ def _roots(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([min(ids, default=None)], pa.int64()), pa.array([max(ids, default=None)], pa.int64()), pa.array([len(rows)], pa.int64()), pa.array([sum(r[2] for r in rows)], pa.int64()), pa.array([root], pa.binary())], names=["part", "first_id", "last_id", "documents", "tokens", "root"])
 
 
-def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = 2, folder: str | None = None, per_part: int = 20_000) -> str:
+def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = 2, folder: str | None = None, per_part: int = 20_000, per_part_chunks: int = 400_000) -> str:
     """Write the store and return its folder (a new one in the shared folder unless named)."""
     folder = folder or f"{shared_dir(docs.sparkSession)}/token-store-{uuid.uuid4().hex}"
     found = docs.select("doc_id", "text").mapInArrow(lambda it: encode(it, tokenizer, end_id), RAW)
@@ -129,8 +129,9 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = 2, folder: str
     spread.mapInArrow(once, RAW).write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/raw")
     raw = docs.sparkSession.read.schema(RAW).parquet(f"{folder}/raw")
     recipes = raw.where("kind = 0").select("doc_id", "n_tokens", "chunks")
-    parts = max(1, -(-recipes.count() // per_part))
-    ranged = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "chunks").withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id() % F.lit(1 << 33))
+    size = recipes.agg(F.count("*").alias("n"), F.sum(F.size("chunks")).alias("chunks")).first()
+    parts = max(1, -(-size["n"] // per_part), -(-(size["chunks"] or 0) // per_part_chunks))
+    ranged = recipes.repartitionByRange(parts, "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "chunks").withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id() % F.lit(1 << 33))
     ranged.select("part", "nth", "doc_id", "n_tokens", "chunks").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     _recipes(docs.sparkSession, folder).groupBy("part").applyInArrow(_roots, MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
