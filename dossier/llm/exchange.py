@@ -33,6 +33,8 @@ CHUNKS, MOST_CHUNK_BYTES = 8_192, 64 << 20
 LEAST_BUCKETS, BUCKET_BYTES = 64, 16 << 20
 MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("body", pa.binary())])
 MESSAGE_SQL = "bucket int, chunk int, body binary"
+#: Rows of two numbers that may go to every task: 120 MB.
+SENT = 2_000_000
 _MADE: list[str] = []
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -89,6 +91,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A materialized table of a few numbers a row, sent to every task if it has at most SENT rows (about 60 bytes each there), else as it is."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
 def made() -> list[str]:
     """The folders of all tables that this driver has materialized and not deleted, in order."""
     return list(_MADE)
