@@ -72,3 +72,13 @@ def test_damage_is_seen(spark):
     spark.createDataFrame([x for x in r if x.doc_id == 1], "part int, nth long, doc_id long, n_tokens long, chunks array<binary>").write.mode("overwrite").parquet(f"{folder}/recipes")
     with pytest.raises(ValueError):
         ts.read_index(spark, folder)
+
+
+def test_damaged_chunk_is_seen(spark):
+    folder = ts.write_store(spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string"), P.path("byte_bpe_50k.json"))
+    rows = [r.asDict() for r in spark.read.parquet(f"{folder}/raw").where("kind = 1").drop("kind").collect()]
+    rows[0]["ids"] = bytes(b ^ 1 for b in rows[0]["ids"])
+    schema = spark.read.parquet(f"{folder}/raw").drop("kind").schema
+    spark.createDataFrame([tuple(r[c] for c in schema.fieldNames()) for r in rows], schema).write.mode("overwrite").parquet(f"{folder}/raw/kind=1")
+    with pytest.raises(Exception, match="damaged"):
+        ts.read_index(spark, folder).collect()
