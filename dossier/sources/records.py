@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sqlite3
 from collections.abc import Iterator, Sequence
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +115,24 @@ def markdown_report(title: str, sections: Sequence[tuple[str, DataFrame]], most:
     return "\n\n".join(parts) + "\n"
 
 
+def html_report(title: str, sections: Sequence[tuple[str, DataFrame]], most: int = 1_000) -> str:
+    """The same as a page: every cell escaped, so nothing in a table can become markup."""
+    parts = [f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
+    for name, rows in sections:
+        found = rows.limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{name} is no summary: over {most} rows")
+        line = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape(c)}</{tag}>" for c in cells) + "</tr>"
+        show = lambda v: "\u2014" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+        parts.append(f"<h2>{escape(name)}</h2><table>{line(rows.columns, 'th')}{''.join(line(map(show, r), 'td') for r in found)}</table>")
+    return "".join(parts) + "</body></html>\n"
+
+
+def output_name(split: str, version: str | None, stamp: str) -> str:
+    """Folder of an evaluation: ``<split>_<version>_<stamp>``."""
+    return "_".join((split, version or "latest_any_version", stamp))
+
+
 def latex_table(rows: DataFrame, most: int = 1_000) -> str:
     """A small aggregate as a tabular, with the characters escaped that LaTeX reserves."""
     escaped = str.maketrans({c: "\\" + c for c in "&%$#_{}"})

@@ -64,6 +64,9 @@ def test_sinks(spark, tmp_path):
     assert text.startswith("# Title\n\n## One\n| task | accuracy | kappa |\n|-|-|-|\n| t | 0.500 | \u2014 |") and "## Two\n| task | bin | n |" in text
     with pytest.raises(ValueError):
         rs.markdown_report("x", [("long", spark.range(5))], most=3)
+    page = rs.html_report("A & B", [("One", spark.createDataFrame([("<b>", 0.25, None)], "t string, v double, n int"))])
+    assert "<title>A &amp; B</title>" in page and "<tr><td>&lt;b&gt;</td><td>0.250</td><td>\u2014</td></tr>" in page
+    assert rs.output_name("build", None, "s") == "build_latest_any_version_s"
     assert rs.latex_table(spark.createDataFrame([("a_b", 5)], "name string, n int")).splitlines()[2] == r"a\_b & 5 \\"
 
 
