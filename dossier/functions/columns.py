@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
-WIDE_SPACE = r"(?U)^\s+|\s+$"
+#: White space of every script, and the separators that count as such.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -61,7 +62,7 @@ def blank_to_null(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, WIDE_SPACE, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def joined_set(c: Column, by: str = ";") -> Column:

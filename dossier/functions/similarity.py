@@ -168,12 +168,21 @@ def _window_common(a: str, codes: dict, symbols: np.ndarray) -> np.ndarray:
     return common
 
 
+class Titles:
+    """Titles folded once, to be scored against several keys' words."""
+
+    def __init__(self, titles: list[str]):
+        self.low = [t.lower() for t in titles]
+        self.bare = [_BARE.sub("", t) for t in self.low]
+
+    def scores(self, words: str) -> np.ndarray:
+        """word_score(words, t) of every title."""
+        sets = np.array([token_set(words, t) for t in self.low])
+        return np.maximum(np.maximum(sets, partial_many(words, self.low)), partial_many(_BARE.sub("", words.lower()), self.bare))
+
+
 def word_scores(words: str, titles: list[str]) -> np.ndarray:
-    """word_score(words, t) of every title."""
-    low = [t.lower() for t in titles]
-    bare = _BARE.sub("", words.lower())
-    sets = np.array([token_set(words, t) for t in low])
-    return np.maximum(np.maximum(sets, partial_many(words, low)), partial_many(bare, [_BARE.sub("", t) for t in low]))
+    return Titles(titles).scores(words)
 
 
 @F.pandas_udf(DoubleType())

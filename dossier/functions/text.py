@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import ladder, strip
+from .columns import SPACES, ladder, strip
 
 # Patterns and limits.
 DOI = r"10\.[0-9]{4,9}/[^\s\"'<>]+"
@@ -132,25 +132,34 @@ def text_notes(cleaned: Column, refs_removed: Column, refs_reason: Column, refs_
 
 # Fixed values of the integrity scan: its patterns (only a newline ends a line, Unicode blanks and words) and flags.
 SECOND_ARTICLE = r"(?imsdU)^\s*(?:references|bibliography|literature cited)\b.*?^\s*abstract\b"
+REFERENCES_HEAD = r"(?imdU)^\s*(?:references|bibliography|literature cited)\b"
+ABSTRACT_HEAD = r"(?imdU)^\s*abstract\b"
 ANY_REFERENCE = r"(?iU)\breferences\b|\bbibliography\b|doi:\s*10\."
 FORM = r"(?iU)CONSORT-EHEALTH|Submission\s*/?\s*Publication Form|\bSubmission Form\b|\bPublication Form\b"
 FORM_CHARS = 600
 MOJIBAKE = "\ufffd|Ã¢â‚¬|Ã©|Ã¨|â€œ|â€\x9d|Ã\xad"
-EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
 def integrity_scan(text: Column, pages: Column, abstract: Column, median: Column) -> Column:
-    """The eight flags that make a text suspicious, in order; the text has no blanks at either end."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), EDGE, "")
-    solid = F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+", "")
-    letters = F.length(F.regexp_replace(solid, r"[^\p{L}]", "")) / F.nullif(F.length(solid).cast("double"), F.lit(0.0))
-    long = F.filter(F.transform(F.split(t, "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1), lambda x: F.regexp_replace(x, EDGE, "")), lambda x: F.length(x) > 15)
-    repeated = (F.size(long) - F.size(F.array_distinct(long))) / F.nullif(F.size(long).cast("double"), F.lit(0.0))
-    found = F.array(
-        F.when(t.rlike(MOJIBAKE), "F1_MOJIBAKE"), F.when(t.rlike(SECOND_ARTICLE), "F2_MULTI_ARTICLE"), F.when((t != "") & ~t.rlike(ANY_REFERENCE), "F3_NO_REFERENCES"),
-        F.when((pages > 0) & (median > 0) & (F.length(t) / pages < 0.4 * median), "F4_THIN_PER_PAGE"), F.when((F.length(abstract) > 0) & (F.length(t) < 3 * F.length(abstract)), "F5_SHORT_VS_ABSTRACT"),
-        F.when(letters < 0.6, "F6_LOW_ALPHA"), F.when((F.size(long) > 50) & (repeated > 0.3), "F7_REPETITIVE"), F.when(F.substring(t, 1, FORM_CHARS).rlike(FORM), "F8_SUBMISSION_FORM"),
-    )
+    """The eight flags that make a text suspicious, in order; the text has no blanks at either end.
+
+    The text and its lines are bound once, as each flag reads them.
+    """
+
+    def flags(t: Column, long: Column) -> Column:
+        letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) / F.nullif(F.length(F.translate(t, SPACES, "")).cast("double"), F.lit(0.0))
+        repeated = (F.size(long) - F.size(F.array_distinct(long))) / F.nullif(F.size(long).cast("double"), F.lit(0.0))
+        second = t.rlike(REFERENCES_HEAD) & t.rlike(ABSTRACT_HEAD) & t.rlike(SECOND_ARTICLE)
+        return F.array(
+            F.when(t.rlike(MOJIBAKE), "F1_MOJIBAKE"), F.when(second, "F2_MULTI_ARTICLE"), F.when((t != "") & ~t.rlike(ANY_REFERENCE), "F3_NO_REFERENCES"),
+            F.when((pages > 0) & (median > 0) & (F.length(t) / pages < 0.4 * median), "F4_THIN_PER_PAGE"), F.when((F.length(abstract) > 0) & (F.length(t) < 3 * F.length(abstract)), "F5_SHORT_VS_ABSTRACT"),
+            F.when(letters < 0.6, "F6_LOW_ALPHA"), F.when((F.size(long) > 50) & (repeated > 0.3), "F7_REPETITIVE"), F.when(F.substring(t, 1, FORM_CHARS).rlike(FORM), "F8_SUBMISSION_FORM"),
+        )
+
+    whole = F.array(F.struct(strip(F.coalesce(text, F.lit(""))).alias("t")))
+    lines = lambda t: F.filter(F.transform(F.split(t, "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1), strip), lambda x: F.length(x) > 15)
+    both = F.transform(whole, lambda x: F.struct(x["t"].alias("t"), lines(x["t"]).alias("long")))
+    found = F.transform(both, lambda x: flags(x["t"], x["long"]))[0]
     return F.filter(found, lambda x: x.isNotNull())
 
 
