@@ -539,7 +539,7 @@ def _two_agencies(c: Corpus, column: str) -> DataFrame:
     """Published cells of one agency above the counted rows of the other."""
     nci = [("Clustering alone", 1, 20), ("Clustering alone", 0, 10), ("Ignored RR only", 1, 32), ("Ignored RR only", 0, 34), ("Ignored both", 1, 19), ("Ignored both", 0, 47)]
     own = st.ignored_rows(st.derive_design(_trials(c)), column).groupBy("stratum", "ignored").agg(F.count("*").alias("count"))
-    return c.spark.createDataFrame(nci, "stratum string, ignored int, count long").withColumn("agency", F.lit("NCI")).unionByName(own.withColumn("agency", F.lit("NHLBI")))
+    return c.spark.createDataFrame(nci, "stratum string, ignored int, count long").withColumn("agency", F.lit("A")).unionByName(own.withColumn("agency", F.lit("B")))
 
 
 @query
@@ -554,7 +554,7 @@ def trials_marginals(c: Corpus) -> DataFrame:
 
 
 def _strata(c: Corpus) -> DataFrame:
-    return st.weighted_cells(_two_agencies(c, "ignored_power_c"), F.col("agency") == "NCI", F.col("ignored") == 1, F.col("count"), "stratum")
+    return st.weighted_cells(_two_agencies(c, "ignored_power_c"), F.col("agency") == "A", F.col("ignored") == 1, F.col("count"), "stratum")
 
 
 @query

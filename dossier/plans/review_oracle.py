@@ -182,7 +182,7 @@ def _long(column: str) -> str:
     return f"""nci AS (SELECT * FROM (VALUES ('Clustering alone', 1, 20), ('Clustering alone', 0, 10), ('Ignored RR only', 1, 32), ('Ignored RR only', 0, 34), ('Ignored both', 1, 19), ('Ignored both', 0, 47)) v(stratum, ignored, count)),
     lng AS (SELECT 'Clustering alone' AS stratum, CASE {column} WHEN 'correct' THEN 0 ELSE 1 END AS ignored FROM ign WHERE {column} = 'ignored clustering' OR {column} = 'correct' AND plain UNION ALL SELECT 'Ignored RR only', CASE {column} WHEN 'ignored RR only' THEN 1 ELSE 0 END FROM ign WHERE {column} IN ('ignored RR only', 'ignored both') OR {column} = 'correct' AND NOT plain
         UNION ALL SELECT 'Ignored both', CASE {column} WHEN 'ignored both' THEN 1 ELSE 0 END FROM ign WHERE {column} IN ('ignored RR only', 'ignored both') OR {column} = 'correct' AND NOT plain),
-    two AS (SELECT stratum, ignored::INTEGER AS ignored, count::BIGINT AS count, 'NCI' AS agency FROM nci UNION ALL SELECT stratum, ignored::INTEGER, count(*), 'NHLBI' FROM lng GROUP BY ALL)"""
+    two AS (SELECT stratum, ignored::INTEGER AS ignored, count::BIGINT AS count, 'A' AS agency FROM nci UNION ALL SELECT stratum, ignored::INTEGER, count(*), 'B' FROM lng GROUP BY ALL)"""
 
 
 _HYPER = f"exp({CHOOSE.format('r1', 'k')} + {CHOOSE.format('r2', '(c1 - k)')} - {CHOOSE.format('n', 'c1')})"
@@ -196,7 +196,7 @@ MORE |= {
     "trials_ignored": f"WITH {TRIALS}, {_long('ignored_power_c')} SELECT * FROM two",
     "trials_marginals": f"""WITH {TRIALS}, {_long('ignored_data_c')}, t AS (SELECT agency, sum(count) AS total FROM two GROUP BY agency), m AS (SELECT agency, 'ignored' AS flag, ignored AS value, sum(count)::BIGINT AS n FROM two GROUP BY ALL UNION ALL SELECT agency, 'alone', (stratum = 'Clustering alone')::INTEGER, sum(count)::BIGINT FROM two GROUP BY ALL)
         SELECT agency, flag, value, n, round(100.0::DOUBLE * n / total, 1) AS percent FROM m JOIN t USING (agency)""",
-    "trials_cmh": f"""WITH {TRIALS}, {_long('ignored_power_c')}, t AS (SELECT stratum, coalesce(sum(count) FILTER (agency = 'NCI' AND ignored = 1), 0)::DOUBLE AS a, coalesce(sum(count) FILTER (agency = 'NCI' AND ignored = 0), 0)::DOUBLE AS b, coalesce(sum(count) FILTER (agency <> 'NCI' AND ignored = 1), 0)::DOUBLE AS c, coalesce(sum(count) FILTER (agency <> 'NCI' AND ignored = 0), 0)::DOUBLE AS d FROM two GROUP BY stratum),
+    "trials_cmh": f"""WITH {TRIALS}, {_long('ignored_power_c')}, t AS (SELECT stratum, coalesce(sum(count) FILTER (agency = 'A' AND ignored = 1), 0)::DOUBLE AS a, coalesce(sum(count) FILTER (agency = 'A' AND ignored = 0), 0)::DOUBLE AS b, coalesce(sum(count) FILTER (agency <> 'A' AND ignored = 1), 0)::DOUBLE AS c, coalesce(sum(count) FILTER (agency <> 'A' AND ignored = 0), 0)::DOUBLE AS d FROM two GROUP BY stratum),
         s AS (SELECT *, a + b AS r1, c + d AS r2, a + c AS c1, a + b + c + d AS n, row_number() OVER (ORDER BY stratum) AS i FROM t), k AS (SELECT i, r1, r2, c1, n, unnest(range(greatest(0, c1 - r2)::BIGINT, least(r1, c1)::BIGINT + 1)) AS k FROM s), p AS (SELECT i, k, {_HYPER} AS p FROM k),
         x AS (SELECT u.k + v.k AS k, sum(u.p * v.p) AS p FROM p u, p v WHERE u.i = 1 AND v.i = 2 GROUP BY 1), y AS (SELECT x.k + w.k AS k, sum(x.p * w.p) AS p FROM x, p w WHERE w.i = 3 GROUP BY 1), z AS (SELECT sum(a) AS seen, sum(r1 * c1 / n) AS mean FROM s)
         SELECT (SELECT count(*) FROM s) AS strata, (SELECT round(sum(a - r1 * c1 / n) ** 2 / sum(r1 * r2 * c1 * (b + d) / (n * n * (n - 1))), 6) FROM s) AS statistic, (SELECT round(sum(a * d / n) / sum(b * c / n), 6) FROM s) AS odds_ratio, round(least(1, sum(p) FILTER (abs(k - mean) >= abs(seen - mean) - 1e-9)), 6) AS p_value FROM y, z""",
