@@ -19,6 +19,41 @@ def test_many_windows_equal_single_ones():
         assert [round(x, 9) for x in word_scores(a, titles)] == [round(word_score(a, t), 9) for t in titles]
 
 
+def test_bounds_hold_and_spare_most_titles(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from dossier.functions.similarity import Titles
+
+    rng = random.Random(1)
+    for _ in range(80):
+        letters = rng.choice(["ab ", "abcde   ", "abcdefghij  \u00e9-"])
+        text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        titles = [text(rng.choice([0, 1, 3, 10, 30, 40, 60])) for _ in range(30)]
+        many = [text(rng.choice([0, 1, 3, 10, 30, 45])) for _ in range(4)] + [titles[3][:20], " ".join(titles[5].split()[::-1])]
+        t, every = Titles(titles), np.arange(30)
+        bound, by_words = t.bounds(many)
+        for k, words in enumerate(many):
+            exact = np.array([word_score(words, x) for x in titles])
+            assert (bound[:, k] >= exact).all()
+            ranked = np.sort(exact)[::-1]
+            (place, best), (_, second) = t.best_two(words, bound[:, k], by_words[:, k], every)
+            assert best == ranked[0] == exact[place] and (best - second >= 10) == (ranked[0] - ranked[1] >= 10)
+            floor = rng.choice([30.0, 60.0, 70.0, 90.0])
+            got = t.best_two(words, bound[:, k], by_words[:, k], every, floor)
+            assert len(got) == min(2, (exact >= floor).sum()) and (not got or got[0][1] == ranked[0])
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 8))) for _ in range(3_000)]
+    t = Titles([" ".join(rng.choices(words, k=12))[:60] for _ in range(4_000)])
+    seen, whole = [], t.scores
+    monkeypatch.setattr(t, "scores", lambda w, which, by: seen.append(len(which)) or whole(w, which, by))
+    asked = [x[:40] for x in t.low[:50]]
+    bound, by_words = t.bounds(asked)
+    for k, w in enumerate(asked):
+        assert t.best_two(w, bound[:, k], by_words[:, k], np.arange(4_000))[0] == (k, 100.0)
+    assert sum(seen) < 50 * 4_000 / 50
+
+
 def test_cite_keys(spark):
     papers = [("p1", "doe", "2001", TITLE), ("p2", "doe", "2002", "Blood pressure in seven towns"), ("p3", "roe", "2001", "Point-of-Care testing of children"), ("p4", "roe", "2001", "Sleep of shift workers"), ("p5", "twin", "1", "Walking to school"), ("p6", "twin", "1", "Walking to school"), ("p7", "institute", "9", "A national study of tobacco use in rural clinics")]
     rows = [
