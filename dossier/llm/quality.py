@@ -1,10 +1,10 @@
 """Quality rules: a base of plain counts, then a log-likelihood ratio between trusted and raw text.
 
 Features are hashed n-grams of ``gram`` = 4 neighbouring bytes of a text, in 2**16 buckets.  The raw multinomial
-counts every n-gram of every document; the trusted one those of documents that a bounded sample of labels
-calls good (quality 1, not toxic).  A document's score is the sum of log(trusted / raw) over its n-grams,
+counts every n-gram of every document; the trusted one those of all documents that labels
+call good (quality 1, not toxic).  A document's score is the sum of log(trusted / raw) over its n-grams,
 divided by their number.  Weights are rounded to integers first, so sums don't depend on the order of rows.
-The threshold is fixed from the scores of the labelled sample, a good document's without its own share in the trusted
+The threshold is fixed from the scores of all labelled documents, a good document's without its own share in the trusted
 counts: the cut that parts good from bad labels best among those that lose at most ``loss`` of the good ones.  Every document is then held against it.
 
 Defined results: a null text has no words and fails the base; without usable labels every document that
@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import materialize
+from dossier.functions.median import median_by
+
+from .exchange import drop, materialize, small
 from .text import _SPACE, U64, Block, mix, slices, window_hash
 
 BUCKETS = 1 << 16
@@ -88,15 +90,15 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame | None, *, gram: int = 4, sample: int = 20_000, loss: float = 0.001, slack: float = SLACK) -> DataFrame:
-    """Counts, score and verdict for every document.  ``sample`` bounds the labelled rows used (smallest hash of doc_id)."""
-    scored, _, cut = _fit(docs, labels, gram, sample, loss, slack)
+def quality_rules(docs: DataFrame, labels: DataFrame | None, *, gram: int = 4, loss: float = 0.001, slack: float = SLACK) -> DataFrame:
+    """Counts, score and verdict for every document; every usable label counts."""
+    scored, _, cut = _fit(docs, labels, gram, loss, slack)
     return scored.withColumn("threshold", F.lit(cut)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut))).drop("weight", "label", "fair")
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame | None, *, gram: int = 4, sample: int = 20_000, loss: float = 0.001, slack: float = SLACK) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame | None, *, gram: int = 4, loss: float = 0.001, slack: float = SLACK) -> DataFrame:
     """The rows of ``docs`` that quality_rules keeps, with all their columns, by another pass instead of a join."""
-    _, weights, cut = _fit(docs, labels, gram, sample, loss, slack)
+    _, weights, cut = _fit(docs, labels, gram, loss, slack)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,24 +118,14 @@ def _weigh(block: Block, gram: int, weights: np.ndarray) -> tuple[np.ndarray, np
     return total[at[1:]] - total[at[:-1]], np.diff(at)
 
 
-def _fit(docs: DataFrame, labels: DataFrame | None, gram: int, sample: int, loss: float, slack: float) -> tuple[DataFrame, np.ndarray, float]:
+def _fit(docs: DataFrame, labels: DataFrame | None, gram: int, loss: float, slack: float) -> tuple[DataFrame, np.ndarray, float]:
     """All documents with counts and score, the weights, and the threshold."""
-    ids, good = np.zeros(0, np.int64), np.zeros(0, bool)
-    if labels is not None:
+    texts = docs.select("doc_id", "text")
+    if labels is None:
+        texts = texts.withColumn("label", F.lit(-1))
+    else:  # 1 good, 0 bad, -1 without a label
         usable = labels.dropna(subset=["doc_id", "quality", "toxic"]).groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
-        found = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-        if found:
-            ids, good = np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], bool)
-            order = np.argsort(ids)
-            ids, good = ids[order], good[order]
-
-    def label(column: pa.Array) -> np.ndarray:
-        """1 good, 0 bad, -1 not in the sample."""
-        d = column.fill_null(-(1 << 62)).to_numpy()
-        if not len(ids):
-            return np.full(len(d), -1, np.int32)
-        at = np.minimum(np.searchsorted(ids, d), len(ids) - 1)
-        return np.where(ids[at] == d, good[at].astype(np.int32), -1).astype(np.int32)
+        texts = texts.join(small(materialize(usable)), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(-1)).alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -141,7 +133,7 @@ def _fit(docs: DataFrame, labels: DataFrame | None, gram: int, sample: int, loss
             for part in slices(batch, "text"):
                 key, at = _bucket_ids(Block(part.column("text")), gram)
                 raw += np.bincount(key, minlength=BUCKETS)
-                ok = np.repeat(label(part.column("doc_id")) == 1, np.diff(at))
+                ok = np.repeat(part.column("label").to_numpy() == 1, np.diff(at))
                 trusted += np.bincount(key[ok], minlength=BUCKETS)
         step = BUCKETS // BLOCKS
         both = [np.concatenate([raw[b : b + step], trusted[b : b + step]]).tobytes() for b in range(0, BUCKETS, step)]
@@ -155,7 +147,6 @@ def _fit(docs: DataFrame, labels: DataFrame | None, gram: int, sample: int, loss
                 total[b] = total[b] + x if b in total else x
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "body"])
 
-    texts = docs.select("doc_id", "text")
     summed = texts.mapInArrow(count, "block int, body binary").repartition(BLOCKS, "block").mapInArrow(add, "block int, body binary").collect()  # BLOCKS rows, 1 MB in all
     step = BUCKETS // BLOCKS
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -176,33 +167,45 @@ def _fit(docs: DataFrame, labels: DataFrame | None, gram: int, sample: int, loss
         for batch in batches:
             for part in slices(batch, "text"):
                 block = Block(part.column("text"))
-                c, (total, n), called = base_counts(block), _weigh(block, gram, weights), label(part.column("doc_id"))
+                c, (total, n), called = base_counts(block), _weigh(block, gram, weights), part.column("label").to_numpy()
                 alone = total.copy()
                 if (called == 1).any():
                     key, at = _bucket_ids(block, gram)
                     for d in np.flatnonzero(called == 1).tolist():
                         alone[d] = fair(key[at[d] : at[d + 1]])
-                columns = {"doc_id": part.column("doc_id"), **{k: pa.array(v) for k, v in c.items()}, "n_grams": pa.array(n), "weight": pa.array(total), "label": pa.array(called), "fair": pa.array(alone)}
+                columns = {"doc_id": part.column("doc_id"), **{k: pa.array(v) for k, v in c.items()}, "n_grams": pa.array(n), "weight": pa.array(total), "label": part.column("label"), "fair": pa.array(alone)}
                 yield pa.record_batch(list(columns.values()), names=list(columns))
 
     scored = materialize(texts.mapInArrow(score, SCORED)).withColumn("score", F.when(F.col("n_grams") > 0, F.col("weight") / UNIT / F.col("n_grams")).otherwise(0.0))
-    cut = threshold(scored, loss, slack) if len(ids) else float("-inf")
+    cut = threshold(scored, loss, slack) if labels is not None else float("-inf")
     return scored, weights, cut
 
 
 def threshold(scored: DataFrame, loss: float, slack: float = SLACK) -> float:
-    """From the labelled sample: below it lie as many bad and as few good (at most ``loss``) as can be.
+    """From all labelled documents: below it lie as many bad and as few good (at most ``loss``) as can be.
 
-    A document that stands in several rows counts once, with its smallest score, so at most ``sample`` numbers reach the driver.
-    Good documents outside the sample may score a little less than any in it: the cut is lowered by ``slack`` of its distance to the median good score.
+    A document that stands in several rows counts once, with its smallest score.  The driver gets the lowest scores of good documents that
+    ``loss`` allows, one in a thousand, and how many bad ones lie between them; the median is found without one task that holds all scores.
+    Good documents without a label may score a little less than any with one: the cut is lowered by ``slack`` of its distance to the median good score.
     """
-    own = scored.where("label >= 0 and not base_failed and n_grams > 0").groupBy("doc_id").agg(F.min(F.col("fair") / UNIT / F.col("n_grams")).alias("s"), F.max("label").alias("label"))
-    rows = own.select("s", "label").collect()
-    s, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
-    good, bad = np.sort(s[y == 1]), np.sort(s[y == 0])
-    if not len(good) or not len(bad):
+    labelled = scored.where("label >= 0 and not base_failed and n_grams > 0").groupBy("doc_id").agg(F.min(F.col("fair") / UNIT / F.col("n_grams")).alias("s"), F.max("label").alias("label"))
+    own = materialize(labelled.select("s", "label"))
+    n = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
+    if not n.get(0) or not n.get(1):
         return float("-inf")
-    cuts = np.concatenate([[good[0]], good[: int(len(good) * loss) + 1]])
-    gain = np.searchsorted(bad, cuts) / len(bad) - np.searchsorted(good, cuts) / len(good)
-    top = float(cuts[int(np.argmax(gain))])
-    return top - slack * (float(np.median(good)) - top)
+    low = np.array([r[0] for r in own.where("label = 1").orderBy("s").select("s").limit(int(n[1] * loss) + 1).collect()])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many scores have so many of ``low`` at or below them."""
+        for batch in batches:
+            at, times = np.unique(np.searchsorted(low, batch.column("s").to_numpy(), "right"), return_counts=True)
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(times, pa.int64())], names=["at", "times"])
+
+    bad = np.zeros(len(low) + 1, np.int64)
+    for r in own.where("label = 0").select("s").mapInArrow(place, "at long, times long").groupBy("at").agg(F.sum("times").alias("times")).collect():
+        bad[r["at"]] = r["times"]
+    gain = np.cumsum(bad)[:-1] / n[0] - np.searchsorted(low, low) / n[1]
+    top = float(low[int(np.argmax(gain))])
+    middle = median_by(own.where("label = 1"), "s").first()["median"]
+    drop(own)
+    return top - slack * (middle - top)

@@ -52,3 +52,15 @@ def test_verdicts(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {d for d, k in got.items() if k}
     assert sum(r.kept for r in quality_rules(docs, None).collect()) == 160 - sum(brute(t)[5] for _, t, _ in good + bad)
     assert quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_every_label_counts(spark):
+    """Labels of ids that no document has push none out, however many there are."""
+    rng = random.Random(3)
+    text = lambda ends: " ".join("".join(rng.choice(["th", "er", "on", "an"]) for _ in range(3)) + rng.choice(ends) for _ in range(80))
+    rows = [(d, text(["", "", "s"] if d % 3 else ["s", "%"]), int(d % 3 > 0)) for d in range(120)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string").cache()
+    own = spark.createDataFrame([(d, q, 0) for d, _, q in rows], "doc_id long, quality int, toxic int")
+    many = own.unionByName(spark.range(1_000, 61_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic"))
+    few, all_ = ({r.doc_id: (r.score, r.threshold, r.kept) for r in quality_rules(docs, x).collect()} for x in (own, many))
+    assert few == all_ and len({t for _, t, _ in few.values()}) == 1 and {k for _, _, k in few.values()} == {True, False}
