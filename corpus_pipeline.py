@@ -1,7 +1,7 @@
 """The training-data pipeline over ``documents``: each stage works on all that the one before kept.
 
 Quality rules drop rejected documents; near-dedup keeps one document of each group of near
-copies (5-word Jaccard of 0.8 or more); suffix-array dedup cuts
+copies (5-word Jaccard of 0.8 or more, proposed by the SimHash search and, beyond its 3 bits, by MinHash); suffix-array dedup cuts
 repeated passages out of texts (whole characters only, a text may end up empty); decontamination drops documents
 that a benchmark item leaks into; packing places what is left.  The first four return the columns of ``documents``.
 """

@@ -1,8 +1,10 @@
-"""Near copies by exact Jaccard similarity of word shingles; MinHash bands only propose the pairs.
+"""Near copies by exact Jaccard similarity of word shingles; SimHash fingerprints and MinHash bands propose the pairs.
 
 Two texts link if their sets of 5-word shingles (ASCII lower case) have a Jaccard similarity of 0.8 or more.
-A Hamming search can't decide that: at 0.8 two 64-bit SimHashes differ by about 10 bits, some by more than 16, and
-a pigeonhole search at such distances compares a fixed share of all pairs.  Of BANDS x ROWS minima each band is a key;
+First the SimHash search of simhash.py, by the generalised pigeonhole principle, joins fingerprints of 3 or fewer differing
+bits; what it joins is verified and, where it holds, linked.  It can't propose all: at 0.8 two 64-bit SimHashes differ by about
+10 bits, some by more than 16, and a pigeonhole search at such distances compares a fixed share of all pairs.  So MinHash bands
+propose the pairs beyond.  Of BANDS x ROWS minima each band is a key;
 a pair at exactly 0.8 has no key in common with probability (1 - 0.8**6)**40 = 5e-6, at 0.85 with 3e-9.  Every
 proposed pair is verified on the whole sets, so nothing below the similarity links.
 
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 
 from .components import components, forest
 from .exchange import drop, materialize, small
+from .simhash import fingerprints, near_links
 from .text import U64, Block, mix, slices, window_hash
 
 BANDS, ROWS = 40, 6
@@ -77,7 +80,7 @@ def bands(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with ``_set``, the id of their shingle set, and ``_bands``, written once."""
+    """``docs`` with ``_set``, the id of their shingle set, ``_bands`` and ``_fp``, their SimHash fingerprint, written once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,9 +88,10 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
                 keys, at = shingle_sets(part.column("text"), shingle)
                 own, has = iter(bands(keys, at)), (np.diff(at) > 0).tolist()
                 part = part.append_column("_set", pa.array(set_ids(keys, at).view(np.int64)))
-                yield part.append_column("_bands", pa.array([next(own).tobytes() if h else b"" for h in has], pa.binary()))
+                part = part.append_column("_bands", pa.array([next(own).tobytes() if h else b"" for h in has], pa.binary()))
+                yield part.append_column("_fp", pa.array(fingerprints(part.column("text")).view(np.int64)))
 
-    extra = [T.StructField("_set", T.LongType()), T.StructField("_bands", T.BinaryType())]
+    extra = [T.StructField("_set", T.LongType()), T.StructField("_bands", T.BinaryType()), T.StructField("_fp", T.LongType())]
     return materialize(docs.mapInArrow(sign, T.StructType([*docs.schema.fields, *extra])))
 
 
@@ -181,8 +185,21 @@ def _compare_blocks(similarity: float):
     return compare
 
 
-def _links(signed: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def simhash_pairs(signed: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b: set ids) that connect all sets whose fingerprints differ by ``distance`` bits or fewer, in any of their texts."""
+    of = materialize(signed.select("_set", "_fp").distinct())
+    first = materialize(of.groupBy("_fp").agg(F.min("_set").alias("b")))
+    same = of.join(first, "_fp").select(F.col("_set").alias("a"), "b")
+    left, right = first.toDF("a", "x"), first.toDF("b", "y")
+    near = near_links(first.select(F.col("_fp").alias("fp")), distance).distinct().join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = materialize(same.union(near).where("a <> b").distinct())
+    drop(of, first)
+    return pairs
+
+
+def _links(signed: DataFrame, found: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
     """Edges (a, b: set ids) that connect what links connect; ``found`` has each set once."""
+    close = simhash_pairs(signed, distance)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +210,8 @@ def _links(signed: DataFrame, found: DataFrame, shingle: int, similarity: float)
     dealt = found.select("_set", "_bands").mapInArrow(deal, "key long, a long")
     centres = dealt.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     live = materialize(dealt.join(centres, "key"))
-    wanted = materialize(found.select("_set", "_id").join(live.select(F.col("a").alias("_set")).distinct(), "_set"))
+    either = live.select("a").union(close.select("a")).union(close.select("b")).toDF("_set").distinct()
+    wanted = materialize(found.select("_set", "_id").join(either, "_set"))
     texts = signed.select("_set", "text", F.coalesce("doc_id", F.lit(LAST)).alias("_id")).join(small(wanted), ["_set", "_id"], "left_semi").select("_set", "text")
     known = materialize(_sets(texts, shingle).dropDuplicates(["_set"]))
     drop(wanted)
@@ -201,8 +219,10 @@ def _links(signed: DataFrame, found: DataFrame, shingle: int, similarity: float)
     def labelled(roots: DataFrame, name: str, to: str) -> DataFrame:
         return roots.select(F.col("node").alias(name), F.col("root").alias(to))
 
-    # Each set with its least centre; then centres still in another component; then groups whose keys still hold several.
-    edges = _verified(live.where("a <> b").groupBy("a").agg(F.min("b").alias("b")), known, similarity)
+    # What SimHash joins; each set with its least centre; then centres still in another component; then groups whose keys still hold several.
+    centre = live.where("a <> b").groupBy("a").agg(F.min("b").alias("b"))
+    edges = _verified(close.union(centre).distinct(), known, similarity)
+    drop(close)
     roots = components(edges)
     apart = live.where("a <> b").select("a", "b").distinct().join(labelled(roots, "a", "ra"), "a", "left").join(labelled(roots, "b", "rb"), "b", "left")
     edges = edges.union(_verified(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), known, similarity))
@@ -226,13 +246,13 @@ def _links(signed: DataFrame, found: DataFrame, shingle: int, similarity: float)
     return edges.union(found)
 
 
-def near_copy_filter(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copy_filter(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
     """One row of each component stays, with all its columns: that of the smallest doc_id (a null one only if there is no other)."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # no name can clash with ours
     signed = _signed(docs.withColumnsRenamed(names), shingle)
     rows = signed.withColumn("_id", F.coalesce("doc_id", F.lit(LAST)))
     found = materialize(rows.groupBy("_set").agg(F.min("_id").alias("_id"), F.first("_bands").alias("_bands")))
-    links = _links(signed, found, shingle, similarity)
+    links = _links(signed, found, shingle, similarity, distance)
     roots = components(links).withColumnRenamed("node", "_set")
     firsts = found.select("_set", "_id").join(roots, "_set", "left").groupBy(F.coalesce("root", "_set").alias("root")).agg(F.min(F.struct("_id", "_set")).alias("one"))
     # Only what goes, or comes twice, is looked up, as that is little: texts that stay needn't be shuffled.

@@ -74,3 +74,32 @@ def test_stage_drops_every_near_copy(spark, monkeypatch, block):
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(kept(rows))
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0
+
+
+def test_simhash_search_is_a_step_of_the_stage(spark, monkeypatch):
+    """Every two texts within 3 bits are joined by the pigeonhole search's pairs, and the stage links by them."""
+    import corpus_pipeline
+    from test_simhash import brute as brute_groups
+
+    from dossier.llm import near_copies
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(20):
+        w = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        rows.append((k, " ".join(w)))
+        for c in range(2):
+            v = list(w)
+            v[rng.randrange(400)] = "new"
+            rows.append((100 + 10 * k + c, " ".join(v)))
+    rows += [(500, None), (501, ""), (502, "One two"), (503, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_copies._signed(docs, 5)
+    roots = {r.node: r.root for r in near_copies.components(near_copies.simhash_pairs(signed, 3)).collect()}
+    of = {r.doc_id: roots.get(r._set, r._set) for r in signed.select("doc_id", "_set").collect()}
+    groups = {d: c for d, _, c in brute_groups(rows)}
+    assert len(set(groups.values())) < 40 and all((of[a] == of[b]) == (groups[a] == groups[b]) for a in of for b in of)
+
+    asked, search = [], near_copies.simhash_pairs
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda signed, distance: asked.append(distance) or search(signed, distance))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(kept(rows)) and asked == [3]
