@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.median import median_by
-
 from .exchange import drop, materialize, small
 from .text import _SPACE, U64, Block, mix, slices, window_hash
 
 BUCKETS = 1 << 16
 UNIT = 1 << 20
 BLOCKS = 16
+#: Ranges in which scores are counted for a median.
+RANGES = 4_096
 #: Share of the distance from the cut to the median good score by which the cut is lowered.
 SLACK = 0.05
 _SYMBOL = np.zeros(256, bool)
@@ -181,11 +181,33 @@ def _fit(docs: DataFrame, labels: DataFrame | None, gram: int, loss: float, slac
     return scored, weights, cut
 
 
+def ranked(scores: DataFrame, rank: int) -> float:
+    """The value of that rank (from 0) in the only column: tasks count their values in RANGES ranges, and the one that has the rank is cut again until it has one value."""
+    lo, hi = scores.agg(F.min("s"), F.max("s")).first()
+    while lo < hi:
+        edges, ends = np.linspace(lo, hi, RANGES + 1)[1:-1], (lo, hi)
+
+        def count(batches: Iterator[pa.RecordBatch], edges: np.ndarray = edges, ends: tuple[float, float] = ends) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.sort(batch.column("s").to_numpy())
+                x = x[(x >= ends[0]) & (x <= ends[1])]
+                at, first, times = np.unique(np.searchsorted(edges, x, "right"), return_index=True, return_counts=True)
+                yield pa.record_batch([pa.array(at, pa.int64()), pa.array(times, pa.int64()), pa.array(x[first]), pa.array(x[first + times - 1])], names=["at", "n", "lo", "hi"])
+
+        counted = scores.mapInArrow(count, "at long, n long, lo double, hi double").groupBy("at").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        for r in sorted(counted.collect()):
+            if rank < r["n"]:
+                lo, hi = r["lo"], r["hi"]
+                break
+            rank -= r["n"]
+    return lo
+
+
 def threshold(scored: DataFrame, loss: float, slack: float = SLACK) -> float:
     """From all labelled documents: below it lie as many bad and as few good (at most ``loss``) as can be.
 
     A document that stands in several rows counts once, with its smallest score.  The driver gets the lowest scores of good documents that
-    ``loss`` allows, one in a thousand, and how many bad ones lie between them; the median is found without one task that holds all scores.
+    ``loss`` allows, one in a thousand, and how many bad ones lie between them; the median is found by counts of ranges.
     Good documents without a label may score a little less than any with one: the cut is lowered by ``slack`` of its distance to the median good score.
     """
     labelled = scored.where("label >= 0 and not base_failed and n_grams > 0").groupBy("doc_id").agg(F.min(F.col("fair") / UNIT / F.col("n_grams")).alias("s"), F.max("label").alias("label"))
@@ -206,6 +228,7 @@ def threshold(scored: DataFrame, loss: float, slack: float = SLACK) -> float:
         bad[r["at"]] = r["times"]
     gain = np.cumsum(bad)[:-1] / n[0] - np.searchsorted(low, low) / n[1]
     top = float(low[int(np.argmax(gain))])
-    middle = median_by(own.where("label = 1"), "s").first()["median"]
+    best = own.where("label = 1").select("s")
+    middle = (ranked(best, (n[1] - 1) // 2) + ranked(best, n[1] // 2)) / 2 if n[1] % 2 == 0 else ranked(best, n[1] // 2)
     drop(own)
     return top - slack * (middle - top)

@@ -64,3 +64,14 @@ def test_every_label_counts(spark):
     many = own.unionByName(spark.range(1_000, 61_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic"))
     few, all_ = ({r.doc_id: (r.score, r.threshold, r.kept) for r in quality_rules(docs, x).collect()} for x in (own, many))
     assert few == all_ and len({t for _, t, _ in few.values()}) == 1 and {k for _, _, k in few.values()} == {True, False}
+
+
+def test_ranks_without_order(spark, monkeypatch):
+    from dossier.llm import quality
+
+    rng = random.Random(8)
+    monkeypatch.setattr(quality, "RANGES", 8)
+    for values in ([1.5], [rng.gauss(0, 1) for _ in range(200)] + [1e9, -1e9], [0.25] * 50 + [0.5] * 49 + [0.1]):
+        frame = spark.createDataFrame([(v,) for v in values], "s double").cache()
+        for rank in {0, (len(values) - 1) // 2, len(values) - 1}:
+            assert quality.ranked(frame, rank) == sorted(values)[rank]
